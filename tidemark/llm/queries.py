@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 from tidemark.llm.language_id import language_id
 from tidemark.llm.quality import quality
+from tidemark.llm.secret_scan import scan, secret_digest
 from tidemark.llm.simhash_dedup import near_duplicates
 from tidemark.llm.token_counts import token_counts
 
@@ -23,6 +24,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
