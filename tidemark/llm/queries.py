@@ -14,6 +14,7 @@ from tidemark.llm.language_id import language_id
 from tidemark.llm.quality import quality
 from tidemark.llm.secret_scan import scan, secret_digest
 from tidemark.llm.simhash_dedup import near_duplicates
+from tidemark.llm.substring_dedup import dedup_digest, substring_dedup
 from tidemark.llm.token_counts import token_counts
 
 
@@ -21,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
