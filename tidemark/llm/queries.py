@@ -16,6 +16,8 @@ from tidemark.llm.secret_scan import scan, secret_digest
 from tidemark.llm.simhash_dedup import near_duplicates
 from tidemark.llm.substring_dedup import dedup_digest, substring_dedup
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.vector_topk import top_k
+from tidemark.llm.warc import page_digest, round_trip
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,14 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_digest(round_trip(table(spark, sf_dir, "pages")))
+
+
+def op5_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan(table(spark, sf_dir, "documents")))
 
