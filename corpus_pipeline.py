@@ -1,10 +1,72 @@
-"""The corpus pipeline: language ID, near-duplicates, decontamination, secret scan, byte-level BPE."""
+"""The corpus pipeline over `documents`: language ID, near-duplicates, decontamination, secret scan, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Null and empty texts, null ids, repeated rows and further columns are handled as the
+operators' docstrings say; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.byte_bpe import digest, encode_documents
+from tidemark.llm.common import settle, table
+from tidemark.llm.decontamination import contamination
+from tidemark.llm.language_id import UNKNOWN, language_id
+from tidemark.llm.secret_scan import redact
+from tidemark.llm.simhash_dedup import near_duplicates
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of the ids in gone (__gone, null for the null id)."""
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letter, or none learnt) go. A repeated id goes only if all its rows do."""
+    found = language_id(docs).groupBy("doc_id").agg(F.min(F.col("lang_pred") == UNKNOWN).alias("bad"))
+    return _without(docs, found.filter("bad").select(F.col("doc_id").alias("__gone")))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest doc_id stays, in one row; ids null stay only as one row of a group without other ids."""
+    found = settle(near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    kept = _without(docs, gone)
+    twice = settle(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")), "repeated")
+    # Rows that share an id are rare; only they are grouped.
+    once = kept.join(twice, kept["doc_id"].eqNullSafe(twice["__twice"]), "left_anti")
+    again = kept.join(twice, kept["doc_id"].eqNullSafe(twice["__twice"]), "left_semi")
+    return once.unionByName(again.dropDuplicates(["doc_id"]))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with any benchmark window go."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter("n_hit > 0").select(F.col("doc_id").alias("__gone")).distinct())
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text becomes a mark; n_chars follows."""
+    return redact(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    return digest(encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+STAGES = [("language ID", languages), ("near-duplicates", near_duplicates_stage), ("decontamination", decontaminated), ("secrets", without_secrets), ("byte-level BPE", encoded)]
+
+#: Language ID and the ratio model can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order; each result is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir), "stage")
+    return docs
