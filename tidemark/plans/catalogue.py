@@ -1,15 +1,336 @@
-"""Registered queries of the alignment engine."""
+"""The registered queries of the alignment engine, over the test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+from tidemark.operators import align, changes, gates, path, scores, structure
+from tidemark.operators import segments as seg
+from tidemark.plans import oracles
+from tidemark.sources import adapters as A
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def joined(values: str, sep: str = " "):  # noqa: ANN201
+    return F.array_join(F.array_sort(values), sep)
+
+
+# --- scalars -----------------------------------------------------------------------------------
+
+
+@query
+def keyword_tokens(spark, sf):
+    return A.table(spark, sf, "documents").withColumn("t", T.tokens(F.col("text"))).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(T.informative(F.col("t"))).cast("long").alias("n_informative"), F.md5(joined("t").cast("binary")).alias("tokens_md5"))
+
+
+@query
+def text_quality(spark, sf):
+    q = T.text_quality(F.col("text"))
+    return A.table(spark, sf, "documents").select("doc_id", q.alias("quality"), (q < 25).alias("is_low_value"))
+
+
+@query
+def weighted_overlap_top1(spark, sf):
+    """The benchmark item that shares most token weight with each document: joined by token, never all pairs."""
+    docs = A.table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    items = A.table(spark, sf, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    found = docs.join(items, "token").withColumn("w", T.weight(F.col("token"))).groupBy("doc_id", "item_id").agg(F.count("*").alias("raw_overlap"), F.sum("w").alias("weight"))
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "item_id"))).filter("r = 1").drop("r")
+
+
+@query
+def adjacent_jaccard(spark, sf):
+    docs = A.table(spark, sf, "documents").select("doc_id", "source", T.tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", "source", F.round(T.jaccard(F.lag("t").over(Window.partitionBy("source").orderBy("doc_id")), F.col("t")), 9).alias("similarity"))
+
+
+@query
+def sanitize_titles(spark, sf):
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    return A.table(spark, sf, "pages").select("page_id", T.slide_text(title).alias("clean"), T.slide_noise(title).alias("noisy"), T.slide_title(T.slide_text(title)).alias("title"))
+
+
+@query
+def time_labels(spark, sf):
+    s = F.col("ts") * 60
+    return A.frames(spark, sf).select("event_id", T.hms(s).alias("label"), T.stamp(s).alias("stamp"))
+
+
+@query
+def slugs(spark, sf):
+    return A.table(spark, sf, "pages").select("page_id", T.slug(F.regexp_replace("url", r"\?.*$", "")).alias("slug"))
+
+
+@query
+def learning_sentences(spark, sf):
+    rows = A.table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"), 4)).alias("pos", "s"))
+    return rows.select("doc_id", "pos", T.without_label(F.col("s")).alias("sentence"), T.about_process(F.col("s")).alias("about_process"))
+
+
+@query
+def unique_points(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", F.array_join(T.reader_points(T.sentences(F.col("text"), 6), 3), "\n").alias("points"))
+
+
+@query
+def formula_candidates(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", F.posexplode(T.formulas(F.col("text"))).alias("pos", "latex")).select("doc_id", F.concat(F.lit("expression_"), (F.col("pos") + 1).cast("string")).alias("name"), "latex")
+
+
+@query
+def transcript_normalize(spark, sf):
+    return A.utterances(spark, sf)
+
+
+@query
+def schema_migration(spark, sf):
+    kept = gates.migrated(F.col("props"), "page string, k bigint, status string", {"page": "", "k": -1, "status": "pending"})
+    return A.table(spark, sf, "events").select("event_id", kept.alias("p")).select("event_id", "p.page", F.col("p.k").alias("k"), "p.status")
+
+
+# --- folds, windows, clusters ------------------------------------------------------------------
+
+
+def _segments(spark, sf) -> DataFrame:
+    return seg.review_segments(A.utterances(spark, sf))
+
+
+@query
+def review_segments(spark, sf):
+    return _segments(spark, sf).withColumn("segment_indexes", F.array_join(F.col("segment_indexes").cast("array<string>"), ","))
+
+
+@query
+def segment_hints(spark, sf):
+    return seg.hints(_segments(spark, sf), A.frames(spark, sf))
+
+
+@query
+def change_kinds(spark, sf):
+    return changes.change_kinds(A.frames(spark, sf)).select("stream_id", "event_id", "stable", "change_kind", "reason", F.round("similarity", 9).alias("similarity"))
+
+
+@query
+def page_clusters(spark, sf):
+    return changes.cluster_rollup(changes.clusters(A.frames(spark, sf)))
+
+
+@query
+def representatives(spark, sf):
+    return changes.representatives(changes.clusters(A.frames(spark, sf)))
+
+
+@query
+def change_points(spark, sf):
+    return changes.change_points(A.frames(spark, sf))
+
+
+@query
+def bucket_argmax(spark, sf):
+    return changes.bucket_best(A.utterances(spark, sf))
+
+
+def _weak(spark, sf) -> DataFrame:
+    at = F.floor("ts").cast("long")
+    return A.frames(spark, sf).select("stream_id", at.alias("at"), "change_ratio", F.max("ts").over(Window.partitionBy("stream_id")).alias("duration")).groupBy("stream_id", "at", "duration").agg(F.min("change_ratio").alias("low")).select("stream_id", "at", "duration", (F.col("low") < 0.02).alias("weak"))
+
+
+@query
+def supplement_points(spark, sf):
+    return changes.supplements(_weak(spark, sf))
+
+
+@query
+def upsert_union(spark, sf):
+    points = _weak(spark, sf).select("stream_id", "at", F.lit("scan").alias("origin"))
+    extra = _weak(spark, sf).filter("weak").select("stream_id", F.col("at") + 1, F.lit("extra").alias("origin")).toDF("stream_id", "at", "origin").distinct()
+    return changes.upsert(points, extra, ["stream_id", "at"])
+
+
+# --- scoring and alignment ---------------------------------------------------------------------
+
+
+def _scored(spark, sf) -> DataFrame:
+    """Segments of every conversation with tokens of text and frame-like words, their deck and source mode."""
+    s = scores.with_tokens(_segments(spark, sf), "text")
+    # The test tables' frames speak of event types; a segment takes one of them as a word, by its place.
+    word = F.element_at(F.array(*map(F.lit, ["click", "view", "purchase", "login", "search"])), (F.pmod(F.col("stream_id"), F.lit(5)) + 1).cast("int"))
+    s = s.withColumn("tokens", F.array_union("tokens", F.array(word)))
+    deck = F.concat(F.lit("src"), F.pmod("stream_id", F.lit(20)).cast("string"))
+    mode = align.source_mode(F.lit("auto"), F.lit(1), F.pmod("stream_id", F.lit(2)) == 0)
+    return s.withColumn("deck", deck).withColumn("source_mode", mode)
+
+
+@query
+def near_matches(spark, sf):
+    return scores.near_units(_scored(spark, sf), scores.units(A.frames(spark, sf)))
+
+
+@query
+def global_matches(spark, sf):
+    s, u = _scored(spark, sf), scores.units(A.frames(spark, sf))
+    return scores.global_units(s, u, scores.near_units(s, u), least=1.0)
+
+
+@query
+def borrowed_matches(spark, sf):
+    s, u = _scored(spark, sf), scores.units(A.frames(spark, sf))
+    return scores.borrowed_units(s, u, scores.near_units(s, u))
+
+
+@query
+def frame_fallback(spark, sf):
+    return scores.frame_matches(_scored(spark, sf), A.frames(spark, sf))
+
+
+@query
+def slide_scores(spark, sf):
+    return scores.slide_scores(_scored(spark, sf), A.slides(spark, sf))
+
+
+@query
+def slide_path(spark, sf):
+    return path.slide_paths(scores.slide_scores(_scored(spark, sf), A.slides(spark, sf)))
+
+
+@query
+def source_mode(spark, sf):
+    decks = A.table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n_slides"))
+    streams = A.table(spark, sf, "conversations").select(F.col("conv_id").alias("stream_id")).distinct().withColumn("source", F.concat(F.lit("src"), (F.col("stream_id") % 25).cast("string")))
+    requested = F.element_at(F.array(F.lit("auto"), F.lit("slides-first"), F.lit("video-first")), (F.col("stream_id") % 3 + 1).cast("int"))
+    return streams.join(decks, "source", "left").select("stream_id", align.source_mode(requested, F.col("n_slides"), F.col("stream_id") % 2 == 0).alias("mode"))
+
+
+def _aligned(spark, sf) -> DataFrame:
+    frames = A.frames(spark, sf)
+    return align.alignment(_scored(spark, sf), frames, A.slides(spark, sf), scores.units(frames))
+
+
+@query
+def alignment(spark, sf):
+    return _aligned(spark, sf)
+
+
+@query
+def alignment_summary(spark, sf):
+    return align.summary(_aligned(spark, sf))
+
+
+@query
+def ppt_debug(spark, sf):
+    p = slide_path(spark, sf)
+    line = F.concat_ws(" ", F.lit("-"), "segment_id", F.concat(F.lit("slide "), F.col("slide_index")), F.format_string("%.2f", "global_score"), F.when(F.col("selected"), "selected").otherwise(F.col("reason")))
+    return structure.ordered_lines(p.withColumn("o", F.concat("segment_id", F.lpad("slide_index", 6, "0"))), "o", F.array(line))
+
+
+# --- gates and plans ---------------------------------------------------------------------------
+
+
+def _reviews(spark, sf) -> DataFrame:
+    docs = A.table(spark, sf, "documents").select("doc_id", F.coalesce(F.get(T.sentences(F.col("text"), 1), F.lit(0)), F.lit("")).alias("summary"))
+    return A.table(spark, sf, "labels").join(docs, "doc_id").select(F.col("doc_id").alias("segment_id"), "summary", F.when(F.col("quality") == 1, "done").otherwise("pending").alias("status"))
+
+
+@query
+def missing_reviews(spark, sf):
+    return gates.missing_reviews(A.table(spark, sf, "documents").select(F.col("doc_id").alias("segment_id"), "source"), _reviews(spark, sf))
+
+
+def _corrections(spark, sf) -> DataFrame:
+    b = A.table(spark, sf, "benchmark")
+    cleaned = F.regexp_replace("text", ",", "")
+    return b.select("item_id", F.col("text").alias("raw"), cleaned.alias("cleaned"), F.when(F.col("item_id") % 7 != 0, "style").otherwise("").alias("reason"), F.array(F.lit(" "), F.when(F.col("item_id") % 5 != 0, "page").otherwise("")).alias("evidence"))
+
+
+@query
+def valid_corrections(spark, sf):
+    return _corrections(spark, sf).select("item_id", gates.valid_correction(F.col("raw"), F.col("cleaned"), F.col("reason"), F.col("evidence")).alias("valid"), gates.required_corrections(F.col("raw")).cast("long").alias("required"))
+
+
+@query
+def review_report(spark, sf):
+    """By source: planned, reviewed, and the reasons against passing."""
+    planned = A.table(spark, sf, "documents").select(F.col("doc_id").alias("segment_id"), "source")
+    missing = gates.missing_reviews(planned, _reviews(spark, sf)).groupBy("source").agg(F.count("*").alias("missing"))
+    rows = planned.groupBy("source").agg(F.count("*").alias("planned")).join(missing, "source", "left").fillna(0, ["missing"])
+    why = gates.reasons((F.col("missing") == 0, "segments without a review"), (F.col("planned") >= 50, "few segments"))
+    return rows.select("source", "planned", (F.col("planned") - F.col("missing")).alias("reviewed"), F.array_join(why, "; ").alias("reasons"), (F.size(why) == 0).alias("passed"))
+
+
+@query
+def merge_in_order(spark, sf):
+    plan = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    lines = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", F.col("l_returnflag").alias("v"), F.struct("l_partkey", "l_suppkey", "l_returnflag").alias("at"))
+    ordered = plan.join(lines.select("k", "l_linenumber").distinct(), "k")
+    return gates.merged_in_order(ordered, lines, ["k"], "l_linenumber", "v")
+
+
+@query
+def cleanup_validation(spark, sf):
+    s = A.slides(spark, sf)
+    return gates.cleanup_validation(s, s.withColumn("title", T.slide_text(F.col("title"))))
+
+
+@query
+def stage_plan(spark, sf):
+    users = A.table(spark, sf, "events").select(F.col("user_id").alias("stream_id")).distinct()
+    state = users.select("stream_id", F.posexplode(F.array(*map(F.lit, gates.STAGES))).alias("n", "stage"))
+    return gates.stage_plan(state.select("stream_id", "stage", ((F.col("stream_id") + F.col("n") * 3) % 11 != 0).alias("ready"), ((F.col("stream_id") * 7 + F.col("n")) % 13 == 0).alias("forced")))
+
+
+# --- outline, blocks, notes --------------------------------------------------------------------
+
+
+def _named(spark, sf) -> DataFrame:
+    """Aligned segments with a summary (their first sentence) and the title of a selected slide."""
+    a = _aligned(spark, sf)
+    deck = F.concat(F.lit("src"), F.pmod("stream_id", F.lit(20)).cast("string"))
+    titles = A.slides(spark, sf).select("deck", F.concat(F.lit("slide_"), F.lpad(F.col("slide_index").cast("string"), 3, "0")).alias("selected"), F.col("title").alias("slide_title"))
+    return a.withColumn("deck", deck).join(titles, ["deck", "selected"], "left").withColumn("summary", F.coalesce(F.get(T.sentences(F.col("text"), 1), F.lit(0)), F.lit("")))
+
+
+@query
+def outline(spark, sf):
+    return structure.outline(_named(spark, sf))
+
+
+def _blocks(spark, sf) -> DataFrame:
+    a = _named(spark, sf)
+    return structure.blocks(a, structure.outline(a))
+
+
+@query
+def knowledge_blocks(spark, sf):
+    flat = [F.array_join(c, "\n").alias(c) for c in ("key_points", "fact_points", "formulas")]
+    return _blocks(spark, sf).select("stream_id", "block_id", "title", *flat, "difficulty", "kind", "timestamp_ref")
+
+
+@query
+def note_markdown(spark, sf):
+    notes = structure.without_body_stamps(structure.note(_blocks(spark, sf)))
+    return notes.select("stream_id", structure.asset_links(F.col("markdown")).alias("markdown"))
+
+
+@query
+def note_gate(spark, sf):
+    why = gates.note_reasons(F.col("markdown"))
+    return structure.note(_blocks(spark, sf)).select("stream_id", F.array_join(why, "; ").alias("reasons"), (F.size(why) == 0).alias("passed"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in QUERIES}
