@@ -41,10 +41,10 @@ def frame_matches(segments: DataFrame, frames: DataFrame, near: float = 5.0, wid
     return _ranked(rows.withColumn("away", away), most, F.desc("score"), F.col("away"), F.col("event_id")).select("stream_id", "segment_id", "event_id", "ts", "text_score", "time_score", "score", "rank")
 
 
-def units(frames: DataFrame) -> DataFrame:
+def units(frames: DataFrame, short: int = 20, brief: int = 30) -> DataFrame:
     """Visual units from frames: one each, low in value if the text says little."""
     tokens = T.tokens(F.col("ocr_text"))
-    low = (T.text_quality(F.col("ocr_text")) < 25) | (F.char_length("ocr_text") < 20) | (F.size(T.informative(tokens)) < 2) | ((F.size(tokens) <= 2) & (F.char_length("ocr_text") < 30))
+    low = (T.text_quality(F.col("ocr_text")) < 25) | (F.char_length("ocr_text") < short) | (F.size(T.informative(tokens)) < 2) | ((F.size(tokens) <= 2) & (F.char_length("ocr_text") < brief))
     return frames.select("stream_id", F.col("event_id").alias("unit_id"), "ts", tokens.alias("unit_tokens"), (low | (F.col("event_id") % 3 == 0)).alias("low"))
 
 

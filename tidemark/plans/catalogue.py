@@ -172,20 +172,25 @@ def _scored(spark, sf) -> DataFrame:
     return s.withColumn("deck", deck).withColumn("source_mode", mode)
 
 
+def _units(spark, sf) -> DataFrame:
+    """Events have short texts, so the limits are lower than for recognised pages."""
+    return scores.units(A.frames(spark, sf), short=10, brief=10)
+
+
 @query
 def near_matches(spark, sf):
-    return scores.near_units(_scored(spark, sf), scores.units(A.frames(spark, sf)))
+    return scores.near_units(_scored(spark, sf), _units(spark, sf))
 
 
 @query
 def global_matches(spark, sf):
-    s, u = _scored(spark, sf), scores.units(A.frames(spark, sf))
+    s, u = _scored(spark, sf), _units(spark, sf)
     return scores.global_units(s, u, scores.near_units(s, u), least=1.0)
 
 
 @query
 def borrowed_matches(spark, sf):
-    s, u = _scored(spark, sf), scores.units(A.frames(spark, sf))
+    s, u = _scored(spark, sf), _units(spark, sf)
     return scores.borrowed_units(s, u, scores.near_units(s, u))
 
 
@@ -214,7 +219,7 @@ def source_mode(spark, sf):
 
 def _aligned(spark, sf) -> DataFrame:
     frames = A.frames(spark, sf)
-    return align.alignment(_scored(spark, sf), frames, A.slides(spark, sf), scores.units(frames))
+    return align.alignment(_scored(spark, sf), frames, A.slides(spark, sf), _units(spark, sf))
 
 
 @query

@@ -1 +1,130 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express, with the same columns."""
+
+from __future__ import annotations
+
+TOKEN = "[0-9A-Za-z]+|[\\x{4e00}-\\x{9fff}]{2,}"
+#: Token weights, as in functions.text.
+WEIGHT = "CASE WHEN {0} = 'transformer' THEN 0.0 WHEN {0} IN ('rnn', 'dnn', 'text') THEN 0.25 WHEN {0} IN ('bert', 'lstm', 'gru', 'representations') THEN 0.5 WHEN {0} IN ('cls', 'sep', 'embedding') THEN 0.75 ELSE 1.0 END"
+
+
+def tokens(text: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({text}), '{TOKEN}'), lambda x: length(x) >= 2))"
+
+
+def squeeze(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[\\s\\p{{Z}}\\x{{85}}\\x0b\\x1c-\\x1f]+', ' ', 'g'))"
+
+
+def jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL OR len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+def hms(s: str) -> str:
+    return f"lpad((({s}) // 3600)::VARCHAR, 2, '0') || ':' || lpad(((({s}) % 3600) // 60)::VARCHAR, 2, '0') || ':' || lpad((({s}) % 60)::VARCHAR, 2, '0')"
+
+
+QUALITY = f"""SELECT doc_id, CASE WHEN n = '' THEN 0.0 ELSE (length(n) + 8 * len(regexp_extract_all(n, '{TOKEN}')) - 2 * length(regexp_replace(n, '[\\p{{L}}\\p{{N}} \\-_/.:,;()\\[\\]{{}}+*=%]', '', 'g')))::DOUBLE END AS quality FROM (SELECT doc_id, {squeeze("coalesce(text, '')")} AS n FROM documents)"""
+UTTER = f"""SELECT conv_id AS stream_id, turn + 1 AS "index", turn::DOUBLE * 20 AS "start", turn::DOUBLE * 20 + 20 AS "end", t AS text FROM (SELECT *, {squeeze("coalesce(text, '')")} AS t FROM conversations) WHERE t <> ''"""
+FRAMES = "SELECT user_id AS stream_id, event_id, event_type, value / 500 AS change_ratio, concat_ws(' ', event_type, props) AS ocr_text, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9::DOUBLE AS ts FROM events"
+SENTENCES = f"""SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[。！？；\\n]+'), lambda s: {squeeze("s")}), lambda s: length(s) >= 6) AS s FROM documents"""
+WEAK = f"""SELECT stream_id, "at", duration, min(change_ratio) < 0.02 AS weak FROM (SELECT stream_id, floor(ts)::BIGINT AS "at", change_ratio, max(ts) OVER (PARTITION BY stream_id) AS duration FROM ({FRAMES})) GROUP BY stream_id, "at", duration"""
+#: The greedy fold over utterances; extra counts what joined after a limit was passed.
+SEGMENTS = f"""WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY "start", "index") AS k, regexp_matches(trim(text), '[。！？!?；;.](["''”’)\\]]+)?$') AS ends FROM ({UTTER})),
+f AS (SELECT stream_id, k, "index", "start", "end", text, ends, 1 AS g, length(text) AS chars, "start" AS begun, -1 AS extra FROM u WHERE k = 1
+UNION ALL SELECT stream_id, k, "index", "start", "end", text, ends, CASE WHEN stays THEN g ELSE g + 1 END, CASE WHEN stays THEN size ELSE length(text) END, CASE WHEN stays THEN begun ELSE "start" END, CASE WHEN NOT stays THEN -1 WHEN extra >= 0 THEN extra + 1 ELSE -1 END FROM (
+  SELECT *, extra < 0 OR (extra < 2 AND NOT ended AND size <= 400 AND "end" - begun <= 180) AS stays FROM (
+    SELECT n.stream_id, n.k, n."index", n."start", n."end", n.text, n.ends, f.ends AS ended, f.g, f.begun, f.chars + length(n.text) + 1 AS size, CASE WHEN f.extra < 0 AND (f.chars + length(n.text) + 1 > 280 OR n."end" - f.begun > 150) THEN 0 ELSE f.extra END AS extra FROM f JOIN u n ON n.stream_id = f.stream_id AND n.k = f.k + 1)))
+SELECT stream_id, 'segment_' || lpad(g::VARCHAR, 3, '0') AS segment_id, min("start") AS "start", arg_max("end", k) AS "end", string_agg("index"::VARCHAR, ',' ORDER BY k) AS segment_indexes, string_agg(text, ' ' ORDER BY k) AS text FROM f GROUP BY stream_id, g"""
+SCORED = f"""SELECT *, list_distinct(list_concat({tokens("text")}, [['click', 'view', 'purchase', 'login', 'search'][stream_id % 5 + 1]])) AS t, 'src' || (stream_id % 20) AS deck, ("start" + "end") / 2 AS centre FROM ({SEGMENTS})"""
+UNITS = f"""SELECT stream_id, event_id AS unit_id, ts, ut, quality < 25 OR length(ocr_text) < 10 OR len(list_filter(ut, lambda x: x NOT IN ('transformer', 'bert'))) < 2 OR (len(ut) <= 2 AND length(ocr_text) < 10) OR event_id % 3 = 0 AS low FROM (SELECT *, {tokens("ocr_text")} AS ut, FRAME_SCORE AS quality FROM ({FRAMES}))"""
+
+
+def shared(a: str, b: str) -> str:
+    """Token weight of what two lists share."""
+    return f"coalesce(list_sum(list_transform(list_intersect({a}, {b}), lambda x: ({WEIGHT.format('x')})::DOUBLE)), 0.0)"
+
+
+REVIEWS = f"SELECT l.doc_id AS segment_id, coalesce(s.s[1], '') AS summary, CASE WHEN quality = 1 THEN 'done' ELSE 'pending' END AS status FROM labels l JOIN ({SENTENCES}) s USING (doc_id)"
+DONE = f"SELECT segment_id FROM ({REVIEWS}) WHERE trim(summary) <> '' AND status = 'done'"
+KINDS = f"""SELECT *, CASE WHEN ratio >= 0.12 AND stable AND similarity < 0.82 THEN 'page_change' WHEN ratio >= 0.02 THEN 'annotation_like_change' ELSE 'no_change' END AS change_kind FROM (
+  SELECT *, NOT coalesce(bool_or(ratio >= 0.02) OVER (PARTITION BY stream_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), false) AS stable FROM (
+    SELECT *, CASE WHEN n = 1 THEN 0.0 ELSE change_ratio END AS ratio, CASE WHEN n = 1 THEN 1.0 ELSE {jaccard("before", "t")} END AS similarity FROM (
+      SELECT *, row_number() OVER w AS n, lag(t) OVER w AS before, lead(event_id) OVER w AS later FROM (SELECT *, {tokens("ocr_text")} AS t FROM ({FRAMES})) WINDOW w AS (PARTITION BY stream_id ORDER BY ts, event_id))))"""
+CLUSTERS = f"""SELECT *, sum(fresh) OVER (PARTITION BY stream_id ORDER BY ts, event_id)::BIGINT AS cluster FROM (
+  SELECT *, CASE WHEN last_id IS NULL OR (list_sum(list_transform(range(1, 17), lambda i: CASE WHEN h[i] <> last_h[i] THEN 1 ELSE 0 END)) > 6 AND {jaccard("last_t", "t")} < 0.7) THEN 1 ELSE 0 END AS fresh FROM (
+    SELECT *, lag(event_id) OVER w AS last_id, lag(h) OVER w AS last_h, lag(t) OVER w AS last_t FROM (SELECT *, substr(md5(event_type), 1, 16) AS h, {tokens("ocr_text")} AS t FROM ({FRAMES})) WINDOW w AS (PARTITION BY stream_id ORDER BY ts, event_id)))"""
+FRAME_SCORE = f"""(length({squeeze("ocr_text")}) + 8 * len(regexp_extract_all({squeeze("ocr_text")}, '{TOKEN}')) - 2 * length(regexp_replace({squeeze("ocr_text")}, '[\\p{{L}}\\p{{N}} \\-_/.:,;()\\[\\]{{}}+*=%]', '', 'g')))::DOUBLE"""
+UNITS = UNITS.replace("FRAME_SCORE", FRAME_SCORE)
+RANK = "row_number() OVER (PARTITION BY stream_id, segment_id ORDER BY score DESC, away, unit_id)"
+NEAR = f"""SELECT * FROM (SELECT *, {RANK} AS "rank" FROM (SELECT * FROM (SELECT *, bool_or(n > 0) OVER p AS any_text, bool_or(NOT low) OVER p AS any_good, 10 * w - away / 10 - CASE WHEN low THEN 8.0 ELSE 0.0 END AS score FROM (
+  SELECT s.stream_id, segment_id, unit_id, low, abs(ts - centre) AS away, len(list_intersect(t, ut)) AS n, {shared("t", "ut")} AS w FROM ({SCORED}) s JOIN ({UNITS}) v ON v.stream_id = s.stream_id AND abs(ts - centre) <= 45) WINDOW p AS (PARTITION BY stream_id, segment_id))
+  WHERE (score > 0 OR w > 0) AND (NOT any_text OR n > 0) AND (NOT any_good OR NOT low))) WHERE "rank" <= 5"""
+LINE = "[^\\sA-Za-z0-9+\\-_=:/%()\\[\\]{}.,，。；：、<>×*·•|\\x{4e00}-\\x{9fff}αβγδθλμστφψωℎ]"
+BROKEN = "[ǍǓǗǝǜƲƭƹ]"
+
+
+def slide_text(text: str) -> str:
+    words = f"list_filter(list_transform(string_split({squeeze(text)}, ' '), lambda t: regexp_replace(t, '[\\p{{M}}\\p{{Cf}}]', '', 'g')), lambda t: t <> '' AND length(regexp_replace(t, '{LINE}', '', 'g')) >= 0.85 * length(t) AND NOT regexp_matches(t, '{BROKEN}'))"
+    return f"regexp_replace({squeeze(f"array_to_string({words}, ' ')")}, '\\s+([,.;:，。；：、])', '\\1', 'g')"
+
+
+def noise(text: str) -> str:
+    return f"(regexp_matches({text}, '[ǍǓǗǝǜƲƭƹ\\x{{05a9}}]') OR length(regexp_replace({text}, '{LINE.replace('[^', '[', 1)}', '', 'g')) >= 2)"
+
+
+STAGES = "['audio', 'transcribe', 'frames', 'ocr', 'review_artifacts', 'codex_review', 'note', 'metadata']"
+
+SQL: dict[str, str] = {
+    "keyword_tokens": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_filter(t, lambda x: x NOT IN ('transformer', 'bert')))::BIGINT AS n_informative, md5(array_to_string(list_sort(t), ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
+    "text_quality": f"SELECT doc_id, quality, quality < 25 AS is_low_value FROM ({QUALITY})",
+    "weighted_overlap_top1": f"""WITH d AS (SELECT doc_id, unnest({tokens('text')}) AS token FROM documents), i AS (SELECT item_id, unnest({tokens('text')}) AS token FROM benchmark),
+f AS (SELECT doc_id, item_id, count(*) AS raw_overlap, sum(({WEIGHT.format('token')})::DOUBLE) AS weight FROM d JOIN i USING (token) GROUP BY ALL)
+SELECT doc_id, item_id, raw_overlap, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, item_id) AS r FROM f) WHERE r = 1""",
+    "adjacent_jaccard": f"SELECT doc_id, source, round({jaccard('b', 't')}, 9) AS similarity FROM (SELECT *, lag(t) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM (SELECT doc_id, source, {tokens('text')} AS t FROM documents))",
+    "time_labels": f"SELECT event_id, {hms('s')} AS label, CASE WHEN s >= 3600 THEN '[' || {hms('s')} || ']' ELSE '[' || lpad((s // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || ']' END AS stamp FROM (SELECT event_id, trunc(greatest(ts * 60, 0.0))::BIGINT AS s FROM ({FRAMES}))",
+    "slugs": "SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(regexp_replace(url, '\\?.*$', ''), '([^/]*)$', 1), '^(.+)\\.[^.]*$', '\\1')), '[^0-9a-z\\x{4e00}-\\x{9fff}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'video') AS slug FROM pages",
+    "transcript_normalize": UTTER,
+    "schema_migration": "SELECT event_id, coalesce(json_extract_string(props, '$.page'), '') AS page, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(json_extract_string(props, '$.status'), 'pending') AS status FROM events",
+    "change_kinds": f"SELECT stream_id, event_id, stable, change_kind, coalesce(CASE WHEN lead(change_kind) OVER (PARTITION BY stream_id ORDER BY ts, event_id) = 'page_change' THEN 'stable_before_change' END, CASE WHEN n = 1 THEN 'opening_frame' END, CASE WHEN later IS NULL THEN 'closing_frame' END, '') AS reason, round(similarity, 9) AS similarity FROM ({KINDS})",
+    "page_clusters": f"""SELECT stream_id, cluster, min(ts) AS "start", max(ts) AS "end", count(*) AS frame_count, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS frames FROM ({CLUSTERS}) GROUP BY ALL""",
+    "representatives": f"SELECT stream_id, cluster, event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, cluster ORDER BY score DESC, off, ts, event_id) AS r FROM (SELECT *, {FRAME_SCORE} + 10 * len(t) AS score, abs(ts - (min(ts) OVER (PARTITION BY stream_id, cluster) + max(ts) OVER (PARTITION BY stream_id, cluster)) / 2) AS off FROM ({CLUSTERS}))) WHERE r = 1",
+    "bucket_argmax": f"""WITH u AS ({UTTER}), d AS (SELECT stream_id, max("end") AS duration FROM u GROUP BY ALL),
+b AS (SELECT stream_id, mid, least(floor(mid / (duration / 4)), 3)::INT AS bucket, length(text) AS n, "index" FROM (SELECT u.*, duration, ("start" + "end") / 2 AS mid FROM u JOIN d USING (stream_id))),
+p AS (SELECT stream_id, bucket, mid FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, bucket ORDER BY n DESC, "index") AS r FROM b) WHERE r = 1)
+SELECT g.stream_id, g.bucket, round_even(coalesce(mid, g.bucket * (duration / 4)), 0)::BIGINT AS at FROM (SELECT d.*, unnest(range(4))::INT AS bucket FROM d) g LEFT JOIN p USING (stream_id, bucket)""",
+    "supplement_points": f"WITH w AS ({WEAK}) SELECT DISTINCT stream_id, p AS \"at\" FROM (SELECT stream_id, unnest([greatest(0, \"at\" - 12), least(floor(duration)::BIGINT - 1, \"at\" + 12)])::BIGINT AS p FROM w WHERE weak) x WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.stream_id = x.stream_id AND w.\"at\" = x.p)",
+    "upsert_union": f"WITH w AS ({WEAK}), e AS (SELECT DISTINCT stream_id, \"at\" + 1 AS p FROM w WHERE weak) SELECT coalesce(e.stream_id, w.stream_id) AS stream_id, coalesce(e.p, w.\"at\") AS \"at\", CASE WHEN e.p IS NULL THEN 'scan' ELSE 'extra' END AS origin FROM w FULL JOIN e ON w.stream_id = e.stream_id AND w.\"at\" = e.p",
+    "source_mode": "SELECT s.stream_id, CASE WHEN stream_id % 3 <> 2 AND coalesce(n, 0) > 0 AND stream_id % 2 = 0 THEN 'slides-first' ELSE 'video-first' END AS mode FROM (SELECT DISTINCT conv_id AS stream_id FROM conversations) s LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY ALL) d ON d.source = 'src' || (s.stream_id % 25)",
+    "learning_sentences": f"""SELECT doc_id, pos::INT AS pos, CASE WHEN regexp_matches(n, '(?s)^\\s*[^：]{{1,8}}：\\s*(\\S.*)$') THEN trim(regexp_extract(n, '^\\s*[^：]{{1,8}}：\\s*(\\S.*)$', 1)) WHEN regexp_matches(n, '^\\s*[^:]{{1,8}}:\\s*(\\S.*)$') THEN trim(regexp_extract(n, '^\\s*[^:]{{1,8}}:\\s*(\\S.*)$', 1)) ELSE n END AS sentence, regexp_matches(lower(s), '修正|误听|误识别|ocr|证据不足|不补写公式|未编造公式|raw -> cleaned|统一为|理顺句子|同音误识别|口误') AS about_process
+FROM (SELECT doc_id, pos, s, regexp_replace(s, '^[ ,，、]+|[ ,，、]+$', '', 'g') AS n FROM (SELECT doc_id, unnest(range(least(4, len(s)))) AS pos, unnest(s[1:4]) AS s FROM ({SENTENCES})))""",
+    "missing_reviews": f"SELECT doc_id AS segment_id, source FROM documents WHERE doc_id NOT IN ({DONE})",
+    "valid_corrections": "SELECT item_id, trim(text) <> '' AND trim(replace(text, ',', '')) <> '' AND item_id % 7 <> 0 AND item_id % 5 <> 0 AS valid, (CASE WHEN length(trim(text)) >= 200 THEN 3 ELSE 1 END)::BIGINT AS required FROM benchmark",
+    "review_report": f"SELECT source, planned, planned - missing AS reviewed, concat_ws('; ', CASE WHEN missing > 0 THEN 'segments without a review' END, CASE WHEN planned < 50 THEN 'few segments' END) AS reasons, missing = 0 AND planned >= 50 AS passed FROM (SELECT source, count(*) AS planned, count(*) FILTER (doc_id NOT IN ({DONE})) AS missing FROM documents GROUP BY ALL)",
+    "merge_in_order": "SELECT k, string_agg(v, chr(10) ORDER BY n) AS merged FROM (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS v, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_returnflag DESC) AS r FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) WHERE r = 1 GROUP BY k",
+    "stage_plan": f"""WITH s AS (SELECT stream_id, n, {STAGES}[n + 1] AS stage, (stream_id + n * 3) % 11 <> 0 AS ready, (stream_id * 7 + n) % 13 = 0 AS forced FROM (SELECT DISTINCT user_id AS stream_id FROM events), range(8) r(n)),
+u AS (SELECT *, coalesce(bool_or(stage <> 'metadata' AND (forced OR NOT ready)) OVER (PARTITION BY stream_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS upset FROM s)
+SELECT stream_id, stage, stage = 'metadata' OR forced OR upset OR NOT ready AS run, CASE WHEN stage = 'metadata' THEN 'metadata is always refreshed' WHEN forced THEN 'forced rerun for ' || stage WHEN upset THEN 'rerun because an upstream stage is being recomputed' WHEN NOT ready THEN 'artifacts missing or incomplete' ELSE 'artifacts already complete' END AS reason FROM u""",
+    "review_segments": f"SELECT *, length(text) AS char_count FROM ({SEGMENTS})",
+    "segment_hints": f"""SELECT stream_id, segment_id, string_agg(ocr_text, chr(10) ORDER BY r) AS hints FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, segment_id ORDER BY first_ts, first_id) AS r FROM (
+SELECT s.stream_id, segment_id, ocr_text, min(ts) AS first_ts, arg_min(event_id, (ts, event_id)) AS first_id FROM ({SEGMENTS}) s JOIN ({FRAMES}) f ON f.stream_id = s.stream_id AND ts >= "start" - 5 AND ts <= "end" + 5 WHERE trim(ocr_text) <> '' GROUP BY ALL)) WHERE r <= 3 GROUP BY ALL""",
+    "near_matches": f"""SELECT stream_id, segment_id, unit_id, low, w, away, score, "rank" FROM ({NEAR})""",
+    "global_matches": f"""SELECT stream_id, segment_id, unit_id, low, w, away, score, "rank" FROM (SELECT *, {RANK} AS "rank" FROM (SELECT *, bool_or(NOT low) OVER (PARTITION BY stream_id, segment_id) AS any_good, 10 * w - away / 10 - CASE WHEN low THEN 8.0 ELSE 0.0 END AS score FROM (
+SELECT s.stream_id, segment_id, unit_id, low, abs(ts - centre) AS away, {shared("t", "ut")} AS w FROM ({SCORED}) s JOIN ({UNITS}) v USING (stream_id) WHERE (s.stream_id, segment_id) NOT IN (SELECT (stream_id, segment_id) FROM ({NEAR}))) WHERE w >= 1.0) WHERE NOT any_good OR NOT low) WHERE "rank" <= 5""",
+    "borrowed_matches": f"""SELECT stream_id, segment_id, unit_id, w, away, score, "rank" FROM (SELECT *, {RANK} AS "rank" FROM (SELECT *, 12 * w + 120.0 - away + 5 AS score FROM (
+SELECT s.stream_id, segment_id, unit_id, abs(ts - centre) AS away, {shared("t", "ut")} AS w FROM ({SCORED}) s JOIN ({UNITS}) v USING (stream_id) WHERE NOT low AND (s.stream_id, segment_id) IN (SELECT (stream_id, segment_id) FROM ({NEAR}) WHERE "rank" = 1 AND low)) WHERE away <= 120 AND w >= 0.75)) WHERE "rank" <= 2""",
+    "frame_fallback": f"""SELECT stream_id, segment_id, event_id, ts, text_score, time_score, score, "rank" FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, segment_id ORDER BY score DESC, away, event_id) AS "rank" FROM (
+SELECT *, 10 * text_score + time_score AS score, bool_or(n > 0) OVER (PARTITION BY stream_id, segment_id) AS hits FROM (SELECT s.stream_id, segment_id, event_id, ts, abs(ts - centre) AS away, len(list_intersect(t, ft)) AS n, {shared("t", "ft")} AS text_score,
+CASE WHEN ts >= "start" - 5 AND ts <= "end" + 5 THEN 2.0 WHEN ts >= "start" - 30 AND ts <= "end" + 30 THEN 1.0 ELSE 0.0 END::DOUBLE AS time_score FROM ({SCORED}) s JOIN (SELECT *, {tokens("ocr_text")} AS ft FROM ({FRAMES})) f USING (stream_id)) WHERE text_score > 0 OR time_score > 0) WHERE NOT hits OR n > 0) WHERE "rank" <= 5""",
+    "slide_scores": f"""SELECT stream_id, segment_id, slide_index, slide_title, title_w, body_w, score, "rank" FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, segment_id ORDER BY score DESC, slide_index) AS "rank" FROM (
+SELECT *, 20 * title_w + 6 * body_w + CASE WHEN title_w > 0 AND body_w > 0 THEN 4.0 ELSE 0.0 END + CASE WHEN exact THEN 18.0 ELSE 0.0 END AS score FROM (
+SELECT stream_id, segment_id, slide_index, slide_title, {shared("t", "tt")} AS title_w, {shared("t", "bt")} AS body_w, trim(slide_title) <> '' AND contains(lower(s.text), lower(trim(slide_title))) AS exact FROM ({SCORED}) s JOIN
+(SELECT source AS deck, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS slide_index, substr(string_split(text, chr(10))[1], 1, 40) AS slide_title, {tokens("substr(string_split(text, chr(10))[1], 1, 40)")} AS tt, {tokens("text")} AS bt FROM documents) d USING (deck)) WHERE title_w > 0 OR body_w > 0 OR exact)) WHERE "rank" <= 8""",
+    "change_points": f"""SELECT stream_id, p.a AS "at", p.s AS strength FROM (SELECT stream_id, p, row_number() OVER (PARTITION BY stream_id ORDER BY p.s DESC, p.a) AS r FROM (SELECT stream_id, unnest(kept) AS p FROM (
+SELECT stream_id, list_reduce(list_transform(l, lambda x: [x]), lambda k, x: CASE WHEN x[1].a - k[-1].a >= 8 THEN list_concat(k, x) WHEN x[1].s >= k[-1].s THEN list_concat(k[:-2], x) ELSE k END) AS kept FROM (
+SELECT stream_id, list({{'a': a, 's': s}} ORDER BY a) AS l FROM (SELECT stream_id, round_even(ts, 0)::BIGINT AS a, max(change_ratio) AS s FROM ({FRAMES}) WHERE change_ratio >= 0.12 GROUP BY ALL) GROUP BY stream_id)))) WHERE r <= 18""",
+    "sanitize_titles": f"""SELECT page_id, clean, noisy, CASE WHEN length(n) < 4 OR lower(n) IN ('title', 'agenda', 'contents') OR regexp_matches(lower(n), '^slide\\s+\\d+$') OR regexp_matches(n, '^第?\\d+页$') THEN '' ELSE n END AS title FROM (
+SELECT *, regexp_replace({squeeze("clean")}, '^[-_.:：]+|[-_.:：]+$', '', 'g') AS n FROM (SELECT page_id, {slide_text("t")} AS clean, {noise("t")} AS noisy FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)))""",
+    "cleanup_validation": f"""SELECT deck, 0::BIGINT AS lost, 0::BIGINT AS extra, a AS noise_before, b AS noise_after, b <= a AS ok FROM (SELECT source AS deck, count(*) FILTER ({noise("t")}) AS a, count(*) FILTER ({noise("c")}) AS b FROM (SELECT *, {slide_text("t")} AS c FROM (SELECT source, substr(string_split(text, chr(10))[1], 1, 40) AS t FROM documents)) GROUP BY ALL)""",
+    "unique_points": f"""SELECT doc_id, coalesce(array_to_string(list_reduce(list_concat([[]::VARCHAR[]], list_transform(p, lambda x: [x])), lambda k, x: CASE WHEN len(k) >= 3 OR len(list_filter(k, lambda y: contains(y, x[1]) OR contains(x[1], y))) > 0 THEN k ELSE list_concat(k, x) END), chr(10)), '') AS points FROM (
+SELECT doc_id, list_filter(list_transform(s[1:6], lambda x: regexp_replace(x, '^[ ,，、]+|[ ,，、]+$', '', 'g')), lambda x: length(x) >= 8 AND NOT regexp_matches(lower(x), '修正|误听|误识别|ocr|证据不足|不补写公式|未编造公式|raw -> cleaned|统一为|理顺句子|同音误识别|口误')) AS p FROM ({SENTENCES}))""",
+}
