@@ -100,7 +100,7 @@ def test_simhash_unequal_thresholds(spark):
         assert sum(t + 1 for _, t in simhash_dedup.allocation(n, both * scale, 3)) == 4
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
+@pytest.mark.parametrize("hot", [30_000, 1])
 def test_substring_dedup(spark, docs, hot, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
     rng = random.Random(1)

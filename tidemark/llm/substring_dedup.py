@@ -6,7 +6,7 @@ in it; neighbouring windows share it, and such a run of windows travels as one p
 least doc_id of each distinct window is known exactly. Equal windows have equal minimisers, so a
 minimiser that only one document has cannot bear a duplicate: a first pass sends only (minimiser,
 doc_id), and super-k-mers travel for minimisers of several documents alone. A bucket of more than HOT
-super-k-mers is not gathered in one task: its windows travel singly under a 128-bit digest, and are
+windows is not gathered in one task: its windows travel singly under a 128-bit digest, and are
 reduced to the least doc_id before and after the shuffle.
 
 Removal: a word goes if a window over it also starts in a document with a smaller doc_id. Spans come
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, in_slices, settle
 
-WINDOW, MER, HOT, REMEMBER = 50, 8, 1000, 500_000
+WINDOW, MER, HOT, REMEMBER = 50, 8, 30_000, 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,16 +92,19 @@ def duplicate_spans(texts: DataFrame, window: int = WINDOW, mer: int = MER) -> D
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in in_slices(batches, "text"):
-            ids, out = [], []
+            ids, out, sizes = [], [], []
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if len(words := (x or "").encode().split()) >= window:
-                    out.append(np.unique(super_kmers(hashes.of(words), window, mer)[0]))
-                    ids.append(np.full(len(out[-1]), d))
+                    bucket, _, n = super_kmers(hashes.of(words), window, mer)
+                    bucket, at = np.unique(bucket, return_inverse=True)
+                    out.append(bucket)
+                    sizes.append(np.bincount(at, weights=n).astype(np.int64))
+                    ids.append(np.full(len(bucket), d))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(ids))], names=["bucket", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["bucket", "doc_id", "windows"])
 
-    seen = settle(arrow_rows(texts.select("doc_id", "text"), anchors, "bucket long, doc_id long"), "anchors")
-    shared = settle(seen.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("least < most").select("bucket", (F.col("n") > HOT).alias("hot")), "shared")
+    seen = settle(arrow_rows(texts.select("doc_id", "text"), anchors, "bucket long, doc_id long, windows long"), "anchors")
+    shared = settle(seen.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("windows").alias("n")).filter("least < most").select("bucket", (F.col("n") > HOT).alias("hot")), "shared")
     wanted = seen.join(shared, "bucket").groupBy("doc_id").agg(F.collect_set(F.struct("bucket", "hot")).alias("wanted"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +133,11 @@ def duplicate_spans(texts: DataFrame, window: int = WINDOW, mer: int = MER) -> D
 
     runs = settle(arrow_rows(texts.join(wanted, "doc_id"), packed, "doc_id long, key long, bucket long, first int, n int, pack binary, digest binary"), "super-kmers")
 
-    def counted(bucket: pa.Table) -> pa.RecordBatch:
-        """One bucket: sort its windows; those whose least document is smaller than their own give spans."""
-        ids, keys, first, n, packs = (bucket[c].to_pylist() for c in ("doc_id", "key", "first", "n", "pack"))
-        cut = sorted((w, d, k, i + j) for d, k, i, m, p in zip(ids, keys, first, n, packs, strict=True) for j, w in enumerate(windows_of(p.split(b" "), m, window)))
+    def counted(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+        """One bucket's (doc_id, key, first, n, pack): sort its windows; those whose least document is smaller than their own give spans."""
+        if min(r[0] for r in rows) == max(r[0] for r in rows):
+            return []
+        cut = sorted((w, d, k, i + j) for d, k, i, m, p in rows for j, w in enumerate(windows_of(p.split(b" "), m, window)))
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         least = last = None
         for w, d, k, i in cut:
@@ -141,22 +145,26 @@ def duplicate_spans(texts: DataFrame, window: int = WINDOW, mer: int = MER) -> D
                 last, least = w, d
             elif d > least:
                 spans.setdefault((d, k), []).append((i, i + window))
-        out = [(d, k, a, b) for (d, k), s in spans.items() for a, b in merged(s)]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32()])], names=["doc_id", "key", "first", "end"])
+        return [(d, k, a, b) for (d, k), s in spans.items() for a, b in merged(s)]
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        """Rows come sorted by bucket. Spans of many buckets go out in one batch: a batch for each would cost more than the work."""
+        kinds = [("doc_id", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]
+        give = lambda out: pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+        now, rows, out = None, [], []
         for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            key = t["bucket"].to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                yield counted(t.slice(i, j - i))
-            rest = t.slice(cuts[-1]).combine_chunks()
-        if rest is not None and rest.num_rows:
-            yield counted(rest)
-
-    # At most HOT rows a bucket, so sorting by it gathers no unbounded group.
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "key", "first", "n", "pack")), strict=True):
+                if bucket != now and rows:
+                    out += counted(rows)
+                    rows = []
+                    if len(out) > 20_000:
+                        yield give(out)
+                        out = []
+                now = bucket
+                rows.append(row)
+        yield give(out + (counted(rows) if rows else []))
+
+    # At most HOT windows a bucket, so sorting by it gathers no unbounded group.
     cold = arrow_rows(runs.filter("pack IS NOT NULL").select("bucket", "doc_id", "key", "first", "n", "pack").repartition("bucket").sortWithinPartitions("bucket"), buckets, "doc_id long, key long, first int, end int")
     hot = runs.filter("digest IS NOT NULL").select("digest", "doc_id", "key", "first")
     least = settle(hot.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least"), "hot")
