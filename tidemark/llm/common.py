@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the dedup contracts: everything but the ASCII blanks.
-BLANKS = "\t\n\x0b\x0c\r "
+#: Bytes of an Arrow batch on its way to Python.
+BATCH = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,6 +78,10 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <<
 
 
 def arrow_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df through a function over Arrow batches of at most 16 MB or so (a row at least), whatever the session's default."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return df.mapInArrow(work, schema)
 
 

@@ -34,7 +34,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_digest(round_trip(table(spark, sf_dir, "pages")))
+    return page_digest(round_trip(table(spark, sf_dir, "pages"), with_payload=False))
 
 
 def op5_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]
         yield f"gap: {why}", gap, len(data), {}, b""
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 1000, records_per_file: int = 2000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archives(pages: DataFrame, folder: str, least: int = 1000, records_per_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = rows.filter(F.octet_length("html") >= least).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
@@ -143,8 +143,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, records_per
     arrow_rows(marked, work, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(folder)
 
 
-def read_archives(pages_folder: DataFrame) -> DataFrame:
-    """pages_folder: rows of Spark's binaryFile source (path, content). One row a record or gap, with its file and byte range."""
+def read_archives(pages_folder: DataFrame, with_payload: bool = True) -> DataFrame:
+    """pages_folder: rows of Spark's binaryFile source (path, content). One row a record or gap, with its file and byte range; payloads are checked in any case, and handed on if asked for."""
     schema = "kind string, file string, start long, end long, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def read_archives(pages_folder: DataFrame) -> DataFrame:
                     if kind == "record":
                         visit = head.get("warc-type") == "revisit"
                         digest = base64.b32decode(head["warc-payload-digest"][5:]).hex() if visit else hashlib.sha1(payload, usedforsecurity=False).hexdigest()
-                        rows.append((kind, path, start, end, number("x-page-id"), head.get("warc-target-uri"), payload, number("x-payload-length") if visit else len(payload), digest, head.get("warc-type"), number("x-refers-to-page-id")))
+                        rows.append((kind, path, start, end, number("x-page-id"), head.get("warc-target-uri"), payload if with_payload else None, number("x-payload-length") if visit else len(payload), digest, head.get("warc-type"), number("x-refers-to-page-id")))
                     else:
                         rows.append((kind, path, start, end, *[None] * 7))
                     size += len(payload)
@@ -172,12 +172,12 @@ def read_archives(pages_folder: DataFrame) -> DataFrame:
     return arrow_rows(pages_folder.select("path", "content"), work, schema)
 
 
-def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 1000, with_payload: bool = True) -> DataFrame:
     """Write the archives to the shared folder and read them back."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     write_archives(pages, folder, least)
-    return read_archives(spark.read.format("binaryFile").load(folder))
+    return read_archives(spark.read.format("binaryFile").load(folder), with_payload)
 
 
 def page_digest(read: DataFrame) -> DataFrame:
