@@ -71,7 +71,7 @@ class TokenMemory:
     def take(self, model: QualityModel, words: set[str]) -> None:
         if len(self.place) > REMEMBER:
             self.place.clear()
-        new = sorted(words - self.place.keys())
+        new = sorted(words.difference(self.place))
         n, m = len(self.place), len(self.place) + len(new)
         if m > len(self.rows):
             self.rows = np.concatenate([self.rows[:n], np.zeros((2 * m - n, DIM), np.float16)])

@@ -44,7 +44,7 @@ class WordHashes:
         if len(self.seen) > REMEMBER:
             self.seen.clear()
         seen = self.seen
-        for w in set(words) - seen.keys():
+        for w in set(words).difference(seen):
             seen[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 

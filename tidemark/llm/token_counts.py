@@ -171,7 +171,7 @@ def count_texts(table: PieceTable, values: list[str], memory: dict[str, int]) ->
     found = [table.part.findall(MARK + v.replace(" ", MARK)) if v else [] for v in values]
     if len(memory) > REMEMBER:
         memory.clear()
-    new = list({p for parts in found for p in parts} - memory.keys())
+    new = list({p for parts in found for p in parts}.difference(memory))
     memory.update(zip(new, table.counts(new), strict=True))
     return [sum(map(memory.__getitem__, parts)) for parts in found]
 
