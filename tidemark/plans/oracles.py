@@ -72,6 +72,7 @@ def noise(text: str) -> str:
     return f"(regexp_matches({text}, '[ǍǓǗǝǜƲƭƹ\\x{{05a9}}]') OR length(regexp_replace({text}, '{LINE.replace('[^', '[', 1)}', '', 'g')) >= 2)"
 
 
+FRAGMENT = "([A-Za-z][A-Za-z0-9_(){}\\[\\]]*\\s*=\\s*[^，。；;\\n]+)"
 STAGES = "['audio', 'transcribe', 'frames', 'ocr', 'review_artifacts', 'codex_review', 'note', 'metadata']"
 
 SQL: dict[str, str] = {
@@ -127,4 +128,7 @@ SELECT *, regexp_replace({squeeze("clean")}, '^[-_.:：]+|[-_.:：]+$', '', 'g')
     "cleanup_validation": f"""SELECT deck, 0::BIGINT AS lost, 0::BIGINT AS extra, a AS noise_before, b AS noise_after, b <= a AS ok FROM (SELECT source AS deck, count(*) FILTER ({noise("t")}) AS a, count(*) FILTER ({noise("c")}) AS b FROM (SELECT *, {slide_text("t")} AS c FROM (SELECT source, substr(string_split(text, chr(10))[1], 1, 40) AS t FROM documents)) GROUP BY ALL)""",
     "unique_points": f"""SELECT doc_id, coalesce(array_to_string(list_reduce(list_concat([[]::VARCHAR[]], list_transform(p, lambda x: [x])), lambda k, x: CASE WHEN len(k) >= 3 OR len(list_filter(k, lambda y: contains(y, x[1]) OR contains(x[1], y))) > 0 THEN k ELSE list_concat(k, x) END), chr(10)), '') AS points FROM (
 SELECT doc_id, list_filter(list_transform(s[1:6], lambda x: regexp_replace(x, '^[ ,，、]+|[ ,，、]+$', '', 'g')), lambda x: length(x) >= 8 AND NOT regexp_matches(lower(x), '修正|误听|误识别|ocr|证据不足|不补写公式|未编造公式|raw -> cleaned|统一为|理顺句子|同音误识别|口误')) AS p FROM ({SENTENCES}))""",
+    "formula_candidates": f"""SELECT doc_id, 'expression_' || pos AS name, latex FROM (SELECT doc_id, unnest(range(1, least(3, len(l)) + 1)) AS pos, unnest(l[1:3]) AS latex FROM (SELECT doc_id, list_filter(k, lambda x, i: list_position(k, x) = i) AS l FROM (
+SELECT doc_id, list_filter(list_transform(c, lambda x: CASE WHEN regexp_matches(x, '{FRAGMENT}') THEN trim(regexp_extract(x, '{FRAGMENT}', 1)) ELSE x END), lambda x: x <> '' AND (regexp_matches(x, '\\\\frac|\\\\sum|\\\\log') OR (length(regexp_replace(x, '[^=+\\-*/^_()\\[\\]{{}}<>∑Σ√≤≥≈]', '', 'g')) >= 2 AND length(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 3))) AS k
+FROM (SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '[；;\\n]+'), lambda x: {squeeze("x")}) AS c FROM documents))))""",
 }
