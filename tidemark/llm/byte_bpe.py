@@ -70,7 +70,7 @@ def displaced(rows: dict[int, dict[int, int]], top: int, size: int = 1 << 19) ->
 class ByteBpe:
     """Encode and decode expressions for a rank file."""
 
-    WORD_BUCKETS = 1 << 16
+    WORD_BUCKETS = 1 << 17
     #: Words with more bytes are folded with all places of a pair at once.
     LONG = 48
 
@@ -162,7 +162,7 @@ class ByteBpe:
     def _bucket(self, word: Column) -> Column:
         return F.pmod(F.xxhash64(word), F.lit(self.WORD_BUCKETS)).cast("int")
 
-    def learn_words(self, docs: DataFrame, text_col: str = "text", sample_rows: int = 4096, keep: int = 65_536, longest: int = 32) -> ByteBpe:
+    def learn_words(self, docs: DataFrame, text_col: str = "text", sample_rows: int = 8192, keep: int = 131_072, longest: int = 32) -> ByteBpe:
         """Fold the frequent words of at most sample_rows texts once. keep * longest bytes bound what the driver holds."""
         words = docs.select(F.col(text_col).cast("string").alias("t")).limit(sample_rows).select(F.explode(self.split(F.col("t"))).alias("w"))
         top = words.filter(F.length("w") <= longest).groupBy("w").count().orderBy(F.desc("count"), "w").limit(keep)
