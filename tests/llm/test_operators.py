@@ -100,6 +100,33 @@ def test_simhash_unequal_thresholds(spark):
         assert sum(t + 1 for _, t in simhash_dedup.allocation(n, both * scale, 3)) == 4
 
 
+def lowest_reachable(links, n):
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return [root(x) for x in range(n)]
+
+
+def test_simhash_forest_keeps_all_links():
+    rng = random.Random(3)
+    cases = [([(2, 4), (5, 7), (1, 4), (3, 6), (5, 8), (2, 6), (3, 7), (0, 8)], 9), ([], 3), ([(1, 1)], 2)]
+    for _ in range(300):
+        n, reach = rng.randint(2, 200), rng.choice([1, 1, 3])
+        order = rng.sample(range(n), n)
+        cases.append((rng.sample(steps := [(order[i], order[i + d]) for d in range(1, reach + 1) for i in range(n - d)], len(steps)), n))
+        cases.append(([(rng.randrange(n), rng.randrange(n)) for _ in range(n * 2 // 3)], n))
+    for links, n in cases:
+        a, b = (np.array([x[k] for x in links], int) for k in (0, 1))
+        assert simhash_dedup._forest(a, b, n).tolist() == lowest_reachable(links, n)
+
+
 @pytest.mark.parametrize("hot", [30_000, 1])
 def test_substring_dedup(spark, docs, hot, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT", hot)

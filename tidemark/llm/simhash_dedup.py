@@ -115,13 +115,12 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest member reachable from each of n members over links a-b."""
     label = np.arange(n)
     while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        a, b = a[(k := label[a] != label[b])], b[k]
-    while (label[label] != label).any():
-        label = label[label]
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        a, b, low, high = (x[low != high] for x in (a, b, low, high))
+        # All labels are roots here, and only roots get a new parent: none is overwritten.
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
     return label
 
 
