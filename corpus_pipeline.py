@@ -14,38 +14,47 @@ from pyspark.sql import functions as F
 from tidemark.llm.byte_bpe import digest, encode_documents
 from tidemark.llm.common import settle, table
 from tidemark.llm.decontamination import contamination
-from tidemark.llm.language_id import UNKNOWN, language_id
+from tidemark.llm.language_id import UNKNOWN, identify, learn
 from tidemark.llm.secret_scan import redact
 from tidemark.llm.simhash_dedup import near_duplicates
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows of the ids in gone (__gone, null for the null id)."""
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key (__key, never null) of id and text: stages decide by row, as ids may be null or repeat. Rows that share a key share every decision."""
+    return docs.withColumn("__key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of keyed whose key is not in gone."""
+    return keyed.join(gone, "__key", "left_anti")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter, or none learnt) go. A repeated id goes only if all its rows do."""
-    found = language_id(docs).groupBy("doc_id").agg(F.min(F.col("lang_pred") == UNKNOWN).alias("bad"))
-    return _without(docs, found.filter("bad").select(F.col("doc_id").alias("__gone")))
+    """Rows without a language (no letter, or none learnt) go."""
+    keyed = _keyed(docs)
+    found = identify(keyed, learn(docs), id_col="__key").filter(F.col("lang_pred") == UNKNOWN)
+    return _without(keyed, found.select(F.col("doc_id").alias("__key")).distinct()).drop("__key")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays, in one row; ids null stay only as one row of a group without other ids."""
-    found = settle(near_duplicates(docs).select("doc_id", "component_id"), "near-duplicates")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = _without(docs, gone)
-    twice = settle(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")), "repeated")
-    # Rows that share an id are rare; only they are grouped.
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(twice["__twice"]), "left_anti")
-    again = kept.join(twice, kept["doc_id"].eqNullSafe(twice["__twice"]), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    """Of each group of near-duplicates one row stays: the one of the smallest doc_id, a null id only where there is no other; of rows that share it, the smallest key."""
+    keyed = _keyed(docs)
+    found = settle(near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")), "near-duplicates")
+    rows = settle(keyed.select("__key", "doc_id").distinct().join(found.distinct(), "__key"), "groups")
+    first = rows.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first")).select("first.__key")
+    kept = _without(keyed, rows.select("__key").join(first, "__key", "left_anti"))
+    twice = settle(found.groupBy("__key").count().filter("count > 1").select("__key"), "repeated")
+    # Rows that share id and text are rare; only they are grouped.
+    once = kept.join(twice, "__key", "left_anti")
+    again = kept.join(twice, "__key", "left_semi")
+    return once.unionByName(again.dropDuplicates(["__key"])).drop("__key")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any benchmark window go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("n_hit > 0").select(F.col("doc_id").alias("__gone")).distinct())
+    """Rows with any benchmark window go."""
+    keyed = _keyed(docs)
+    found = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="__key").filter("n_hit > 0")
+    return _without(keyed, found.select(F.col("doc_id").alias("__key")).distinct()).drop("__key")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

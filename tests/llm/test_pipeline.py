@@ -1,0 +1,61 @@
+"""The pipeline's stages against brute force, on rows with null and repeated ids."""
+
+import pytest
+from test_operators import simhash_brute
+
+import corpus_pipeline
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars int"
+PROSE = {
+    "a": "the river runs past the old mill and the children play on the stones beside it all summer long until the rain comes",
+    "b": "a letter came in the morning with news from the town where my brother had opened a shop for books and maps",
+    "c": "nobody knew who had painted the door green but everyone agreed that it looked far better than it did before",
+    "item": "which of the following planets has the greatest number of known moons in orbit around it according to recent counts",
+}
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in rows], COLUMNS)
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([("q1", PROSE["item"])], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_languages_by_row(spark, tables):
+    rows = [(1, PROSE["a"]), (1, "123 456"), (None, PROSE["b"]), (None, "!!"), (None, None), (2, ""), *((10 + i, t) for i, t in enumerate(PROSE.values()) for _ in range(3))]
+    assert pairs(corpus_pipeline.languages(spark, documents(spark, rows), tables)) == sorted((x for x in rows if any(c.isalpha() for c in x[1] or "")), key=repr)
+
+
+def one_of_each(rows):
+    """Rows that stay: of each near-duplicate group the smallest id, null last. Groups by brute force, rows as ids."""
+    texts = sorted({t or "" for _, t in rows})
+    group = {texts[i]: g for i, _, g in simhash_brute(list(enumerate(texts)))}
+    best = {}
+    for d, t in rows:
+        key = (d is None, d or 0)
+        g = group[t or ""]
+        best[g] = min(best.get(g, key), key)
+    return sorted((None if none else d for none, d in best.values()), key=repr), {g: b for g, b in best.items()}, group
+
+
+def test_near_duplicates_by_row(spark, tables):
+    a, b, c = PROSE["a"], PROSE["b"], PROSE["c"]
+    rows = [(5, a), (None, a.upper()), (None, b), (None, b), (None, c), (7, c), (7, PROSE["item"]), (5, b + " and ink"), (9, a), (9, "x y z"), (9, "x y z"), (None, None), (11, "")]
+    got = pairs(corpus_pipeline.near_duplicates_stage(spark, documents(spark, rows), tables))
+    ids, best, group = one_of_each(rows)
+    assert sorted((d for d, _ in got), key=repr) == ids and set(got) <= set(rows)
+    assert {group[t or ""]: (d is None, d or 0) for d, t in got} == best
+    assert pairs(corpus_pipeline.near_duplicates_stage(spark, documents(spark, [(None, a), (None, b), (None, c), (3, a)]), tables)) == sorted([(None, b), (None, c), (3, a)], key=repr)
+
+
+def test_decontamination_by_row(spark, tables):
+    rows = [(1, PROSE["a"]), (1, "x " + PROSE["item"]), (None, PROSE["b"]), (None, PROSE["item"] + " y"), (None, None), (2, PROSE["c"]), (2, PROSE["c"])]
+    assert pairs(corpus_pipeline.decontaminated(spark, documents(spark, rows), tables)) == sorted((x for x in rows if PROSE["item"] not in (x[1] or "")), key=repr)
