@@ -79,6 +79,22 @@ def test_path_is_best():
         assert abs(worth(chosen) - best) < 1e-9 and all(abs(t[k] - best) < 1e-9 for t, k in zip(totals, chosen, strict=True))
 
 
+def test_order_beyond_999_segments(spark):
+    # The path must go 1, 2, 3, .. by number: by text, segment_1000 would stand between 100 and 101.
+    ids = [f"segment_{n:03d}" for n in range(1, 1102)]
+    rows = [(1, s, n // 4 + k, 1.0, k + 1) for n, s in enumerate(ids) for k in range(2)]
+    got = path.slide_paths(spark.createDataFrame(rows[::-1], "stream_id long, segment_id string, slide_index int, score double, rank int")).collect()
+    chosen, _ = path.best_path([[(n // 4, 1.0), (n // 4 + 1, 1.0)] for n in range(len(ids))])
+    assert {r["segment_id"]: r["slide_index"] for r in got if r["selected"]} == {s: n // 4 + c for n, (s, c) in enumerate(zip(ids, chosen, strict=True))}
+
+    aligned = spark.createDataFrame([(1, s, "", f"t{n}", "none", "", float(n), n + 1.0) for n, s in enumerate(ids)], "stream_id long, segment_id string, summary string, text string, mode string, slide_title string, start double, end double")
+    sections = structure.outline(aligned)
+    assert [r["segment_id"] for r in sections.orderBy("start").collect()] == ids
+    assert {r["segment_id"]: r["section_id"] for r in sections.collect()} == {s: s.replace("segment", "section") for s in ids}
+    lines = structure.ordered_lines(sections, "section_id", F.array("segment_id")).first()["markdown"]
+    assert lines.split("\n") == ids
+
+
 def test_gates(spark):
     r = one(spark, ok=gates.valid_correction(F.lit("a"), F.lit("b"), F.lit("c"), F.array(F.lit(" "), F.lit("x"))), no=gates.valid_correction(F.lit("a"), F.lit("b"), F.lit(" "), F.array(F.lit("x"))), n=gates.required_corrections(F.lit("x" * 200)), why=gates.note_reasons(F.lit("## 知识小结")), m=gates.note_reasons(F.lit(None).cast("string")), mode=align.source_mode(F.lit("slides-first"), F.lit(0), F.lit(True)))
     assert r["ok"] and not r["no"] and r["n"] == 3 and len(r["why"]) == 3 and r["m"] == ["note.md 不存在"] and r["mode"] == "video-first"
