@@ -37,7 +37,10 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays: the one of the smallest doc_id, a null id only where there is no other; of rows that share it, the smallest key."""
+    """Of each group of near-duplicates one row stays: the one of the smallest doc_id, a null id only where there is no other; of rows that share it, the smallest key.
+
+    Near means op3's 3 of 64 SimHash bits over three-word shingles: most pairs of 5-word similarity 0.8 are farther apart and stay (README has the recall).
+    """
     keyed = _keyed(docs)
     found = settle(near_duplicates(keyed, id_col="__key").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")), "near-duplicates")
     rows = settle(keyed.select("__key", "doc_id").distinct().join(found.distinct(), "__key"), "groups")
