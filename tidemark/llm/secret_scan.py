@@ -2,8 +2,10 @@
 
 Base spans come from three fixed patterns, leftmost and non-overlapping for each kind, in code points.
 More spans ("markov") come from long runs of key characters: two character Markov models, one of
-random strings and one of ordinary identifiers, are compared by log-likelihood ratio; a run whose
-total ratio reaches the margin and that touches no base span is a secret too. The models are learnt
+random strings and one of ordinary identifiers, are compared by log-likelihood ratio, on the parts of
+a run outside base spans (20 characters or more each). A part whose total ratio reaches the margin is
+a secret too; else each of its best-scoring stretches is that reaches it, so identifiers before a token
+can't hide it. A stretch of under 20 characters, grown to the ends of its letters and digits, is none. The models are learnt
 from labelled samples: random strings made by hashing a fixed range, and identifiers joined from the
 words of at most sample_rows documents (those of smallest id hash) that hold no base span.
 
@@ -28,7 +30,8 @@ KINDS = {
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -81,19 +84,59 @@ def learn(labelled: DataFrame) -> list[float]:
     return [math.log(counts[True][i] / rows[True][i // n]) - math.log(counts[False][i] / rows[False][i // n]) for i in range(n * n)]
 
 
-def ratio(value: Column, table: list[float]) -> Column:
-    """Total log-likelihood ratio of a string."""
+def ratios(value: Column, table: list[float]) -> Column:
+    """Log-likelihood ratio of each pair of adjacent characters."""
     cells = F.split(F.lit(",".join(f"{x:.5f}" for x in table)), ",").cast("array<double>")
     places = F.transform(F.split(value, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
-    return let(places, lambda p: F.aggregate(F.transform(F.slice(p, F.lit(2), F.size(p)), lambda b, i: F.coalesce(F.get(cells, F.get(p, i) * len(ALPHABET) + b), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x))
+    return let(places, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p)), lambda b, i: F.coalesce(F.get(cells, F.get(p, i) * len(ALPHABET) + b), F.lit(0.0))))
+
+
+def outside(run: Column, base: Column) -> Column:
+    """array<struct<start, end, value>>: the parts of a run that no base span (sorted by start) covers, LEAST characters or more each."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    part = lambda a, b: F.when(b - a >= LEAST, F.array(F.struct(a.alias("start"), b.alias("end")))).otherwise(empty)
+    over = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    zero = F.struct(run["start"].alias("at"), empty.alias("out"))
+    cut = F.aggregate(over, zero, lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], part(s["at"], b["start"])).alias("out")), lambda s: F.concat(s["out"], part(s["at"], run["end"])))
+    return F.transform(cut, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(run["value"], x["start"] - run["start"] + 1, x["end"] - x["start"]).alias("value")))
+
+
+def stretches(r: Column, margin: float) -> Column:
+    """array<struct<start, end>> of the best-scoring stretches of a string with these ratios: those that reach the margin.
+
+    A stretch ends where the running sum is at its most; the next may begin once the sum has fallen to nothing or by the margin.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    won = lambda s: F.concat(s["out"], F.when(s["best"] >= margin, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(empty))
+    state = lambda total, start, best, end, i, out: F.struct(total.alias("sum"), start.alias("start"), best.alias("best"), end.alias("end"), i.alias("i"), out.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        total, i = s["sum"] + x, s["i"] + 1
+        over = (total <= 0) | (total <= s["best"] - margin)
+        better = total > s["best"]
+        return F.when(over, state(F.lit(0.0), i, F.lit(0.0), i, i, won(s))).otherwise(state(total, s["start"], F.greatest(s["best"], total), F.when(better, i + 1).otherwise(s["end"]), i, s["out"]))
+
+    return F.aggregate(r, state(F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.lit(0), empty), step, won)
+
+
+def secret_parts(part: Column, table: list[float], margin: float) -> Column:
+    """array<struct<start, end>>: a part that reaches the margin as a whole, else its best-scoring stretches, each to the ends of its letters and digits."""
+    value = part["value"]
+    before = lambda x: F.char_length(F.regexp_extract(F.substring(value, F.lit(1), x["start"]), "[A-Za-z0-9]*$", 0))
+    after = lambda x: F.char_length(F.regexp_extract(F.substring(value, x["end"] + 1, F.char_length(value)), "^[A-Za-z0-9]*=*", 0))
+    grown = lambda r: F.transform(stretches(r, margin), lambda x: F.struct((part["start"] + x["start"] - before(x)).alias("start"), (part["start"] + x["end"] + after(x)).alias("end")))
+    whole = F.array(F.struct(part["start"].alias("start"), part["end"].alias("end")))
+    total = lambda r: F.aggregate(r, F.lit(0.0), lambda s, x: s + x)
+    return let(ratios(value, table), lambda r: F.when(total(r) >= margin, whole).otherwise(F.array_distinct(F.filter(grown(r), lambda x: x["end"] - x["start"] >= LEAST))))
 
 
 def spans(text: Column, table: list[float], margin: float = 10.0) -> Column:
     """Base spans and the method's own, sorted by start, then kind."""
 
     def more(base: Column) -> Column:
-        runs = F.filter(matches(text, RUN), lambda m: (~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))) & (ratio(m["value"], table) >= margin))
-        own = F.transform(runs, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("k"), m["end"].alias("end"), F.lit("markov").alias("kind")))
+        parts = F.flatten(F.transform(matches(text, RUN), lambda m: outside(m, base)))
+        found = F.flatten(F.transform(parts, lambda p: secret_parts(p, table, margin)))
+        own = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("k"), m["end"].alias("end"), F.lit("markov").alias("kind")))
         return F.array_sort(F.concat(base, own))
 
     return let(base_spans(text), more)
