@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import byte_bpe, components, decontamination, language_id, quality, secret_scan, simhash_dedup, substring_dedup, token_counts, vector_topk, warc
 
@@ -52,6 +53,24 @@ def test_byte_bpe(spark, docs):
     assert got == sorted((d, lib.encode_ordinary(t or ""), (t or "").encode()) for d, t in rows)
 
 
+def test_byte_bpe_places_beyond_20_bits(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    bpe = byte_bpe.ByteBpe(spark, path, P.PATTERN)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    a, b = next((ranks[x.encode()], ranks[y.encode()]) for x in "qjxzvkQJXZVK" for y in "qjxzvkQJXZVK" if x != y and not {(x + y).encode(), (y + x).encode()} & ranks.keys())
+    # The only pair that merges stands at a place of over 20 bits.
+    df = spark.createDataFrame([((1 << 19) + 2,)], "n int").select(F.concat(F.flatten(F.array_repeat(F.array(F.lit(a), F.lit(b)), F.col("n"))), F.array(F.lit(ranks[b" "]), F.lit(ranks[b"t"]))).alias("ids")).localCheckpoint()
+    got = bpe.beside(df).select(bpe._best(F.col("__t"), F.col("ids"), F.size("ids"), byte_bpe.PLACES).alias("best")).first()["best"]
+    assert divmod(got, 1 << byte_bpe.PLACES) == (ranks[b" t"], (1 << 20) + 4) and got < byte_bpe.NONE_LONG
+
+
+def test_secret_samples_read_whole_texts(spark):
+    text = "the same opening words " * 60 + "zebra quokka " * 8
+    values = [r["value"] for r in secret_scan.samples(spark.createDataFrame([(1, text)], DOCS)).filter("NOT random").collect()]
+    assert sum(v.count("quokka") for v in values) == 16
+    assert {"the_same_opening", "wordsthesame", "opening-words-the", "same/opening/words"} <= set(values)
+
+
 def simhash_brute(rows):
     fps = []
     for _, t in rows:

@@ -6,7 +6,7 @@ random strings and one of ordinary identifiers, are compared by log-likelihood r
 a run outside base spans (20 characters or more each). A part whose total ratio reaches the margin is
 a secret too; else each of its best-scoring stretches is that reaches it, so identifiers before a token
 can't hide it. A stretch of under 20 characters, grown to the ends of its letters and digits, is none. The models are learnt
-from labelled samples: random strings made by hashing a fixed range, and identifiers joined from the
+from labelled samples: random strings made by hashing a fixed range, and identifiers joined from all
 words of at most sample_rows documents (those of smallest id hash) that hold no base span.
 
 Defined cases: a null text is an empty one without spans; rows may repeat, ids may be null; an empty
@@ -67,8 +67,10 @@ def samples(docs: DataFrame, sample_rows: int = 2000, random_rows: int = 4000) -
     made = docs.sparkSession.range(random_rows).select(F.explode(F.array(F.base64(F.unhex(seed)), seed, F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(seed.cast("binary"), 512))), "[+/=]", ""), 1, 40), F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(seed.cast("binary"), 384))), "[+/=]", ""), 1, 24)))).alias("value"), F.lit(True).alias("random"))
     clean = docs.filter("text IS NOT NULL").orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")).limit(sample_rows)
     clean = clean.filter(F.size(base_spans(F.col("text"))) == 0).select(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w")).filter("size(w) > 0")
-    joined = [F.array_join(F.slice("w", F.lit(k), F.lit(3)), sep) for k, sep in ((1, "_"), (4, ""), (7, "-"), (10, "/"))]
-    own = clean.select(F.explode(F.concat(F.array(*joined), F.slice("w", 1, 200))).alias("value"), F.lit(False).alias("random"))
+    # Each three words make an identifier, joined in turn by one of four signs; all words stand by themselves too.
+    sign = F.array(*map(F.lit, ("_", "", "-", "/")))
+    joined = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 3).cast("int")), lambda k: F.call_function("array_join", F.slice("w", k * 3 + 1, F.lit(3)), F.get(sign, k % 4)))
+    own = clean.select(F.explode(F.concat(joined, "w")).alias("value"), F.lit(False).alias("random"))
     return made.unionByName(own)
 
 
