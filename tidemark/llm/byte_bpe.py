@@ -50,6 +50,9 @@ def java_pattern(pattern: str) -> str:
 
 #: A best pair of at least this is none.
 NONE = 1 << 37
+#: Bits for the place in a long word, as many as an array has, and the none that goes with them.
+PLACES = 31
+NONE_LONG = 1 << (17 + PLACES)
 
 
 def displaced(rows: dict[int, dict[int, int]], top: int, size: int = 1 << 19) -> tuple[list[int], list[int]]:
@@ -108,9 +111,11 @@ class ByteBpe:
         """The rank of a pair's merge, or a number of 2**17 or more where it can't merge: the slot holds left * 2**17 + rank."""
         return (F.get(t["slots"], F.get(t["base"], left) + right) - F.shiftleft(left.cast("long"), 17)).bitwiseAND(F.lit((1 << 41) - 1))
 
-    def _best(self, t: Column, ids: Column, most: int | Column) -> Column:
-        """The lowest rank and its first place, as rank * 2**20 + place; NONE or more where nothing merges; null for one token."""
-        return F.array_min(F.transform(F.slice(ids, F.lit(2), F.lit(most) if isinstance(most, int) else most), lambda x, i: F.shiftleft(self._merged(t, F.get(ids, i), x), 20) + i))
+    def _best(self, t: Column, ids: Column, most: int | Column, shift: int = 20) -> Column:
+        """The lowest rank and its first place, as rank * 2**shift + place; 2**(17 + shift) or more where nothing merges; null for one token."""
+        merged = lambda i, x: self._merged(t, F.get(ids, i), x)
+        rank = merged if shift <= 20 else lambda i, x: F.least(merged(i, x), F.lit(1 << 17))
+        return F.array_min(F.transform(F.slice(ids, F.lit(2), F.lit(most) if isinstance(most, int) else most), lambda x, i: F.shiftleft(rank(i, x), shift) + i))
 
     def _fold(self, t: Column, ids: Column) -> Column:
         """Merge the leftmost pair of lowest rank, again and again.
@@ -145,7 +150,7 @@ class ByteBpe:
 
         def step(s: Column, _: Column) -> Column:
             text, done = s["text"], F.struct(s["text"].alias("text"), F.lit(False).alias("live"))
-            found = lambda ids: let(F.coalesce(self._best(t, ids, F.size(ids)), F.lit(NONE)), lambda b: F.when(b >= NONE, done).otherwise(F.struct(merge(text, ids, b.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"), F.shiftright(b, 20).cast("int")).alias("text"), F.lit(True).alias("live"))))
+            found = lambda ids: let(F.coalesce(self._best(t, ids, F.size(ids), PLACES), F.lit(NONE_LONG)), lambda b: F.when(b >= NONE_LONG, done).otherwise(F.struct(merge(text, ids, b.bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int"), F.shiftright(b, PLACES).cast("int")).alias("text"), F.lit(True).alias("live"))))
             return F.when(s["live"], let(codes(text), found)).otherwise(s)
 
         start = F.array_join(F.transform(ids, char), "")
