@@ -51,6 +51,11 @@ def test_byte_bpe(spark, docs):
     rows = docs[:60] + ODD + [(2000 + i, "".join(rng.choice("ab th\n\t,.é漢😀e r\xa0　'st=-!1") for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(1, "=" * 700 + "ab" * 100)]
     got = sorted((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in byte_bpe.encode_documents(frame(spark, rows), path, P.PATTERN).collect())
     assert got == sorted((d, lib.encode_ordinary(t or ""), (t or "").encode()) for d, t in rows)
+    assert byte_bpe.encode_documents(empty(spark), path, P.PATTERN).count() == 0
+    # Null ids and very long words: random letters, one letter, signs, letters without a cut.
+    long = [(None, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))), (None, None), (1, "a" * 100_000), (2, "-=" * 5000), (3, "thequickbrownfoxandtheotherones" * 300), (4, "漢字" * 2000)]
+    got = sorted(((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in byte_bpe.encode_documents(frame(spark, long), path, P.PATTERN).collect()), key=repr)
+    assert got == sorted(((d, lib.encode_ordinary(t or ""), (t or "").encode()) for d, t in long), key=repr)
 
 
 def test_byte_bpe_places_beyond_20_bits(spark):
@@ -60,7 +65,7 @@ def test_byte_bpe_places_beyond_20_bits(spark):
     a, b = next((ranks[x.encode()], ranks[y.encode()]) for x in "qjxzvkQJXZVK" for y in "qjxzvkQJXZVK" if x != y and not {(x + y).encode(), (y + x).encode()} & ranks.keys())
     # The only pair that merges stands at a place of over 20 bits.
     df = spark.createDataFrame([((1 << 19) + 2,)], "n int").select(F.concat(F.flatten(F.array_repeat(F.array(F.lit(a), F.lit(b)), F.col("n"))), F.array(F.lit(ranks[b" "]), F.lit(ranks[b"t"]))).alias("ids")).localCheckpoint()
-    got = bpe.beside(df).select(bpe._best(F.col("__t"), F.col("ids"), F.size("ids"), byte_bpe.PLACES).alias("best")).first()["best"]
+    got = bpe.beside(df).select(bpe._best(F.col("__t"), F.col("ids")).alias("best")).first()["best"]
     assert divmod(got, 1 << byte_bpe.PLACES) == (ranks[b" t"], (1 << 20) + 4) and got < byte_bpe.NONE_LONG
 
 

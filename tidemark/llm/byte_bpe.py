@@ -2,22 +2,27 @@
 
 A text is cut by the split pattern; each word becomes an array of byte tokens and a fold merges the
 adjacent pair of lowest rank, leftmost first, until none is left. The rank map is a constant of the
-plan (the value of a one-row scalar subquery): buckets of small maps, so that a lookup costs one
-hash. Words that are frequent in a bounded sample of texts are folded once, when the plan is built,
-and kept in a second constant map; all other words are folded where they stand. The second map only
-saves time: ids are the same without it. Decoding looks up each id's bytes and concatenates them.
+plan (the value of a one-row scalar subquery): one array at displaced offsets, so that a lookup costs
+two array reads. All words of all texts are counted; the most frequent (at most `keep`) are folded
+once and kept in a second constant, a map in buckets; rarer words are folded where they stand. The
+second constant only saves time: ids are the same without it. Decoding looks up each id's piece, a
+binary, and concatenates the pieces.
 
 The only Python here runs in the driver, on the rank file. Characters that Unicode added as letters
 after Java's own tables may split otherwise than in the library.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; repeated rows are encoded
 each; ids of documents may be null or repeat; an empty table gives an empty result; other columns
-are ignored; ids that the vocabulary lacks decode to no bytes.
+are ignored; ids that the vocabulary lacks decode to no bytes. Very long texts are encoded whole, in
+one row; a very long word (an unbroken run of letters, signs or blanks) is first cut between bytes
+that stand beside each other in no token, which bounds the folds; a run without such a place costs a
+pass for each distinct merge in it.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +35,8 @@ SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 
 
 def java_pattern(pattern: str) -> str:
-    """The split pattern with its white space spelt out (in Java, \\s is ASCII only)."""
+    """The split pattern with its white space spelt out (in Java, \\s is ASCII only). Neighbouring alternatives that are an apostrophe and letters are tried as one, which is faster."""
+    pattern = re.sub(r"(?:'[a-z]+\|){2,}", lambda m: "'(?:" + m[0][1:-1].replace("|'", "|") + ")|", pattern)
     out, depth, i = "", 0, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -48,22 +54,28 @@ def java_pattern(pattern: str) -> str:
     return out
 
 
-#: A best pair of at least this is none.
-NONE = 1 << 37
+#: A pair's rank of at least this is none.
+NONE = 1 << 17
 #: Bits for the place in a long word, as many as an array has, and the none that goes with them.
 PLACES = 31
 NONE_LONG = 1 << (17 + PLACES)
+#: Stands between the parts of a long word; no byte.
+CUT = "\u0100"
+
+
+#: A slot without a pair: its left is no token.
+EMPTY = 1 << 40
 
 
 def displaced(rows: dict[int, dict[int, int]], top: int, size: int = 1 << 19) -> tuple[list[int], list[int]]:
     """The pair table as one array: slot base[left] + right holds left * 2**17 + rank. Rows, the largest first, get the first of a fixed series of offsets where none of their slots is taken."""
     rng = np.random.default_rng(7)
     offsets = rng.integers(0, size - top, 1 << 16)
-    base, slots = np.zeros(top, np.int64), np.full(size, -1, np.int64)
+    base, slots = np.zeros(top, np.int64), np.full(size, EMPTY, np.int64)
     for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
         rights = np.fromiter(row, np.int64, len(row))
         k = left % len(offsets)
-        while (slots[offsets[k] + rights] >= 0).any():
+        while (slots[offsets[k] + rights] != EMPTY).any():
             k = (k + 1) % len(offsets)
         base[left] = offsets[k]
         slots[offsets[k] + rights] = (left << 17) + np.fromiter(row.values(), np.int64, len(row))
@@ -73,8 +85,8 @@ def displaced(rows: dict[int, dict[int, int]], top: int, size: int = 1 << 19) ->
 class ByteBpe:
     """Encode and decode expressions for a rank file."""
 
-    WORD_BUCKETS = 1 << 17
-    #: Words with more bytes are folded with all places of a pair at once.
+    WORD_BUCKETS = 1 << 19
+    #: Words with more bytes are cut into parts first; parts with more are folded with all places of a pair at once. The ids are the same.
     LONG = 48
 
     def __init__(self, spark: SparkSession, path: str, pattern: str) -> None:
@@ -97,44 +109,49 @@ class ByteBpe:
         pieces: list[str] = [""] * self.top
         for token, rank in ranks.items():
             pieces[rank] = token.hex()
+        beside = np.zeros(1 << 16, bool)
+        for token in ranks:
+            for x, y in zip(token, token[1:], strict=False):
+                beside[x << 8 | y] = True
         # Long Python lists are slow to hand over; strings are not.
-        frame = spark.createDataFrame([tuple(",".join(map(str, x)) for x in (base, slots, bytes_, pieces, self.odd))], "base string, slots string, bytes string, pieces string, odd string")
+        frame = spark.createDataFrame([tuple(",".join(map(str, x)) for x in (base, slots, bytes_, pieces, self.odd, beside.astype(int)))], "base string, slots string, bytes string, pieces string, odd string, beside string")
         numbers = lambda c, kind: F.split(c, ",").cast(f"array<{kind}>").alias(c)
-        frame = frame.select(numbers("base", "int"), numbers("slots", "bigint"), numbers("bytes", "int"), F.split("pieces", ",").alias("pieces"), numbers("odd", "int"))
+        # A piece's bytes as they are, under the type string: array_join concatenates them without looking at them.
+        raw = F.transform(F.split("pieces", ","), lambda x: F.unhex(x).cast("string")).alias("pieces")
+        frame = frame.select(numbers("base", "int"), numbers("slots", "bigint"), numbers("bytes", "int"), raw, numbers("odd", "int"), numbers("beside", "int"))
         # Subqueries may not be written in a higher-order function: beside() puts them into a column of
         # their own, which the optimizer moves back into the one expression that reads it.
-        self.tables = frame.select(F.struct("base", "slots", "bytes", "odd")).scalar()
+        self.tables = frame.select(F.struct("base", "slots", "bytes", "odd", "beside")).scalar()
         self.pieces = frame.select("pieces").scalar()
         self.words: Column | None = None
 
-    def _merged(self, t: Column, left: Column, right: Column) -> Column:
-        """The rank of a pair's merge, or a number of 2**17 or more where it can't merge: the slot holds left * 2**17 + rank."""
-        return (F.get(t["slots"], F.get(t["base"], left) + right) - F.shiftleft(left.cast("long"), 17)).bitwiseAND(F.lit((1 << 41) - 1))
+    @staticmethod
+    def _merged(slots: Column, base: Column, left: Column, right: Column) -> Column:
+        """The rank of a pair's merge, or a number of NONE or more where it can't merge: the slot holds left * 2**17 + rank."""
+        return F.get(slots, F.get(base, left) + right).bitwiseXOR(F.shiftleft(left.cast("long"), 17))
 
-    def _best(self, t: Column, ids: Column, most: int | Column, shift: int = 20) -> Column:
-        """The lowest rank and its first place, as rank * 2**shift + place; 2**(17 + shift) or more where nothing merges; null for one token."""
-        merged = lambda i, x: self._merged(t, F.get(ids, i), x)
-        rank = merged if shift <= 20 else lambda i, x: F.least(merged(i, x), F.lit(1 << 17))
-        return F.array_min(F.transform(F.slice(ids, F.lit(2), F.lit(most) if isinstance(most, int) else most), lambda x, i: F.shiftleft(rank(i, x), shift) + i))
+    def _best(self, t: Column, ids: Column) -> Column:
+        """The lowest rank and its first place, as rank * 2**PLACES + place; NONE_LONG or more where nothing merges; null for one token."""
+        rank = lambda i, x: F.least(self._merged(t["slots"], t["base"], F.get(ids, i), x), F.lit(NONE))
+        return F.array_min(F.transform(F.slice(ids, F.lit(2), F.size(ids)), lambda x, i: F.shiftleft(rank(i, x), PLACES) + i))
 
     def _fold(self, t: Column, ids: Column) -> Column:
-        """Merge the leftmost pair of lowest rank, again and again.
+        """Merge the leftmost pair of lowest rank, again and again; a step looks up the ranks of all pairs, the last token has none (null)."""
 
-        The fold runs over 0, 1, 0, 1, ...: at 0 it looks for the best pair (rank and place in one
-        number), at 1 it merges that pair. Plain steps keep the interpreted lambdas shallow.
-        """
+        def fold(slots: Column, base: Column) -> Column:
+            def merge(x: Column, m: Column, p: Column) -> Column:
+                return F.filter(F.transform(x, lambda token, i: F.when(i == p - 1, m).otherwise(token)), lambda _, i: i != p)
 
-        def step(s: Column, at: Column) -> Column:
-            ids, best = s["ids"], s["best"]
-            place = best.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-            merged = F.concat(F.slice(ids, F.lit(1), place), F.array(F.shiftright(best, 20).cast("int")), F.slice(ids, place + 3, F.lit(self.LONG)))
-            return F.when(best >= NONE, s).when(at == 0, F.struct(ids.alias("ids"), F.coalesce(self._best(t, ids, self.LONG), F.lit(NONE)).alias("best"))).otherwise(F.struct(merged.alias("ids"), F.lit(0).cast("long").alias("best")))
+            def step(x: Column, _: Column) -> Column:
+                ranks = F.transform(x, lambda left, i: self._merged(slots, base, left, F.get(x, i + 1)))
+                return let(ranks, lambda r: let(F.array_min(r), lambda m: F.when(m < NONE, let(F.array_position(r, m).cast("int"), lambda p: merge(x, m.cast("int"), p))).otherwise(x)))
 
-        turns = F.slice(F.lit([0, 1] * self.LONG), F.lit(1), F.size(ids) * 2 - 1)
-        return F.aggregate(turns, F.struct(ids.alias("ids"), F.lit(0).cast("long").alias("best")), step, lambda s: s["ids"])
+            return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), ids, step)
+
+        return let(t["slots"], lambda slots: let(t["base"], lambda base: fold(slots, base)))
 
     def _fold_long(self, t: Column, ids: Column) -> Column:
-        """The same for long words: ids as characters, all places of the lowest pair replaced at once, from the left.
+        """The same for long parts: ids as characters, all places of the lowest pair replaced at once, from the left.
 
         That equals one place at a time, as a new pair never ranks below the pair that made it; for
         the few results where it can (self.odd), only the first place is replaced.
@@ -150,27 +167,44 @@ class ByteBpe:
 
         def step(s: Column, _: Column) -> Column:
             text, done = s["text"], F.struct(s["text"].alias("text"), F.lit(False).alias("live"))
-            found = lambda ids: let(F.coalesce(self._best(t, ids, F.size(ids), PLACES), F.lit(NONE_LONG)), lambda b: F.when(b >= NONE_LONG, done).otherwise(F.struct(merge(text, ids, b.bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int"), F.shiftright(b, PLACES).cast("int")).alias("text"), F.lit(True).alias("live"))))
+            found = lambda ids: let(F.coalesce(self._best(t, ids), F.lit(NONE_LONG)), lambda b: F.when(b >= NONE_LONG, done).otherwise(F.struct(merge(text, ids, b.bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int"), F.shiftright(b, PLACES).cast("int")).alias("text"), F.lit(True).alias("live"))))
             return F.when(s["live"], let(codes(text), found)).otherwise(s)
 
         start = F.array_join(F.transform(ids, char), "")
         return F.aggregate(ids, F.struct(start.alias("text"), F.lit(True).alias("live")), step, lambda s: codes(s["text"]))
 
+    def _parts(self, t: Column, latin: Column) -> Column:
+        """A long word cut between bytes that no token has beside each other: no merge ever crosses such a place."""
+        follows = lambda cs, c, i: F.get(t["beside"], F.ascii(c) * 256 + F.ascii(F.get(cs, i + 1)))
+        marked = lambda cs: F.array_join(F.transform(cs, lambda c, i: F.when(follows(cs, c, i) == 1, c).otherwise(F.concat(c, F.lit(CUT)))), "")
+        return F.array_remove(F.split(let(F.split(latin, ""), marked), CUT), "")
+
     def _word(self, t: Column, word: Column) -> Column:
+        tokens = lambda part: F.transform(F.split(part, ""), lambda c: F.get(t["bytes"], F.ascii(c)))
         latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        ids = F.transform(F.split(latin, ""), lambda c: F.get(t["bytes"], F.ascii(c)))
-        return F.when(F.octet_length(word) > self.LONG, self._fold_long(t, ids)).otherwise(let(ids, lambda x: self._fold(t, x)))
+        part = lambda x: let(tokens(x), lambda ids: F.when(F.size(ids) > self.LONG, self._fold_long(t, ids)).otherwise(self._fold(t, ids)))
+        return F.when(F.octet_length(word) > self.LONG, F.flatten(F.transform(self._parts(t, latin), part))).otherwise(let(tokens(latin), lambda ids: self._fold(t, ids)))
 
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def _bucket(self, word: Column) -> Column:
-        return F.pmod(F.xxhash64(word), F.lit(self.WORD_BUCKETS)).cast("int")
-
-    def learn_words(self, docs: DataFrame, text_col: str = "text", sample_rows: int = 8192, keep: int = 131_072, longest: int = 32) -> ByteBpe:
-        """Fold the frequent words of at most sample_rows texts once. keep * longest bytes bound what the driver holds."""
-        words = docs.select(F.col(text_col).cast("string").alias("t")).limit(sample_rows).select(F.explode(self.split(F.col("t"))).alias("w"))
-        top = words.filter(F.length("w") <= longest).groupBy("w").count().orderBy(F.desc("count"), "w").limit(keep)
+        return F.hash(word).bitwiseAND(F.lit(self.WORD_BUCKETS - 1))
+
+    def learn_words(self, docs: DataFrame, text_col: str = "text", keep: int = 524_288, longest: int = 32) -> ByteBpe:
+        """Fold the most frequent words of all texts once: those of at least the least count that at most `keep` words reach. keep * longest bytes bound what the driver and each executor hold."""
+        words = docs.select(F.explode(self.split(F.col(text_col).cast("string"))).alias("w")).groupBy("w").count()
+        step = F.floor(F.log2("count") * 16).cast("int").alias("step")
+        counts = settle(words.filter(f"count > 1 AND length(w) <= {longest}").select("w", step), "words")
+        least, total = None, 0
+        for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 16 * 64 rows at most
+            total += r["count"]
+            if total > keep:
+                break
+            least = r["step"]
+        if least is None:
+            return self
+        top = counts.filter(F.col("step") >= least).select("w").repartition(64, "w")
         folded = self.beside(top).select("w", let(F.col("__t"), lambda t: self._word(t, F.col("w"))).alias("ids"), self._bucket(F.col("w")).alias("b"))
         entries = folded.groupBy("b").agg(F.collect_list(F.struct("w", "ids")).alias("e"))
         every = self.spark.range(self.WORD_BUCKETS).select(F.col("id").cast("int").alias("b")).join(entries, "b", "left")
@@ -189,7 +223,8 @@ class ByteBpe:
         return F.flatten(F.transform(self.split(F.coalesce(text.cast("string"), F.lit(""))), lambda w: F.coalesce(known(w), self._word(t, w))))
 
     def _decode(self, pieces: Column, ids: Column) -> Column:
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(pieces, i), F.lit(""))), ""))
+        # Null pieces (of unknown ids) are left out by array_join.
+        return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").cast("binary")
 
     def encode(self, df: DataFrame, text: str, into: str) -> DataFrame:
         """df with the ids of a text column; null has none."""
