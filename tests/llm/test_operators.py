@@ -250,23 +250,49 @@ def test_warc_salvage():
     assert [k.split(":")[0] for k, *_ in warc.salvage(plain)] == ["record", "record", "gap", "record", "record"]
 
 
+def top_k_brute(rows):
+    """One answer list a query row; candidates are all other rows."""
+    ok = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all()]
+    whole, want = [[int(c) for c in v] for _, v in ok], []
+    for a, (i, _) in enumerate(ok):
+        if i % 50 == 0:
+            s = sorted((-sum(x * y for x, y in zip(whole[a], whole[b], strict=False)), j) for b, (j, _) in enumerate(ok) if b != a)
+            want += [(i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -v))) for n, (v, j) in enumerate(s[:5])]
+    return sorted(want)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [0.5, float(i % 3)]) for i in range(300)] + [(700, None), (750, [None, 1.0]), (800, [float("inf")]), (850, []), (900, [0.0]), (950, [1.0]), (950, [1.0])]
-    ok = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v in rows if v is not None and None not in v and np.isfinite(np.array(v, float)).all()}
-    x = np.zeros((len(ok), 8), int)
-    for j, v in enumerate(ok.values()):
-        x[j, : len(v)] = v
-    ids, want = np.array(list(ok)), []
-    for j, i in enumerate(ids):
-        if i % 50 == 0:
-            s = x @ x[j]
-            want += [(int(i), r + 1, int(ids[t]), int(s[t])) for r, t in enumerate([t for t in np.lexsort((ids, -s)) if t != j][:5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, vector_topk.top_k(df).collect())) == sorted(want)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [0.5, float(i % 3)]) for i in range(300)] + [(700, None), (750, [None, 1.0]), (800, [float("inf")]), (850, []), (900, [0.0]), (950, [1.0]), (950, [1.0]), (950, [0.25, 1.0]), (None, [1.0])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, row int, q string")
+    assert sorted(map(tuple, vector_topk.top_k(df).collect())) == top_k_brute(rows)
     assert vector_topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_repeats_and_large_components(spark):
+    repeats = [(50, [1.0]), (50, [1.0]), (1, [1.0]), (1, [1.0]), (2, [1.0])]
+    large = [(i, [(-1.0) ** i * 10.0 ** (i % 7 * 3), float(i)]) for i in range(120)] + [(150, [1e300]), (151, [1e18])]
+    for rows in (repeats, large):
+        assert sorted(map(tuple, vector_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())) == top_k_brute(rows)
+
+
+def test_top_k_prunes_clustered_vectors():
+    rng = np.random.default_rng(5)
+    angle = rng.uniform(0, 2 * np.pi, 4000)
+    x = np.floor(1e5 * np.c_[np.cos(angle), np.sin(angle)])
+    norm = float(np.sqrt((x * x).sum(1).max()))
+    index = vector_topk.PivotIndex([v.tobytes() for v in x[::100]], 2, norm, 6, 4000)
+    p, r = index.nearest([v.tobytes() for v in x])
+    share, q = [], x[2000]
+    for one in np.unique(p):
+        at = np.flatnonzero(p == one)
+        at = at[np.argsort(r[at])]
+        best = np.sort(x @ q)[-6]
+        away = float(index.distances(index.stretched(q[None]), index.pivots)[0, one])
+        share.append(vector_topk.scan(at, x[at], r[at], q, away, float(best), norm, 6, True)[2])
+    assert sum(share) < 4000 / 8
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(docs)
