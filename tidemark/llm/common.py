@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ BATCH = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: the session's spark.checkpoint.dir, or one of our own where none is set (tests)."""
+    """The folder that all executors see: the session's spark.checkpoint.dir. Only a session without executors of its own (master local) gets one of ours where none is set; on a cluster that is an error, as executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -49,7 +52,14 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them back. Lost executors cost nothing then."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(settled: DataFrame) -> None:
+    """Delete a settled table that nothing reads any more."""
+    drop_folder(settled.sparkSession, settled.settled_at)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -77,6 +87,13 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <<
         yield batch.slice(start)
 
 
+def smallest_hashes(rows: DataFrame, of: Column, most: int) -> DataFrame:
+    """The rows whose hash (column of) is among the `most` smallest: a bounded sample that follows from the rows. Only hashes travel to one task; rows that are equal share theirs and stay together."""
+    hashed = rows.withColumn("__h", of)
+    bound = hashed.select("__h").orderBy("__h").limit(most).agg(F.max("__h")).first()[0]
+    return hashed.filter(F.col("__h") <= bound) if bound is not None else hashed.filter(F.lit(False))
+
+
 def arrow_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df through a function over Arrow batches of at most 16 MB or so (a row at least), whatever the session's default."""
     conf = df.sparkSession.conf

@@ -10,7 +10,7 @@ with that proportion as the score; ties go to the first in the alphabet.
 
 Defined cases: a null text, or one without a letter, is 'und' with score 0; if no labelled text has
 a letter, all are; rows may repeat, ids may be null; empty tables give empty results; other columns
-are ignored. Learning takes at most sample_rows labelled texts, those of smallest id hash.
+are ignored. Very long texts are read whole (a slice of a batch holds one of them). Learning takes at most sample_rows labelled texts, those of smallest id hash.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, held_out, in_slices
+from tidemark.llm.common import arrow_rows, held_out, in_slices, smallest_hashes
 
 CELLS, WIDTH = 1 << 15, 3
 UNKNOWN = "und"
@@ -102,10 +102,7 @@ class Languages:
 def learn(docs: DataFrame, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """n-gram counts of at most sample_rows labelled texts that are not held out; counted on the executors."""
     rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{text_col}` AS STRING) AS text", f"CAST(`{lang_col}` AS STRING) AS lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    hashed = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    bound = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    if bound is None:
-        return Languages({})
+    sample = smallest_hashes(rows, F.xxhash64(F.col("doc_id").cast("string")), sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -117,7 +114,7 @@ def learn(docs: DataFrame, sample_rows: int = 8000, id_col: str = "doc_id", text
             k = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n[k])], names=["lang", "cell", "n"])
 
-    counts = arrow_rows(hashed.filter(F.col("h") <= bound).select("text", "lang"), count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    counts = arrow_rows(sample.select("text", "lang"), count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     out: dict[str, np.ndarray] = {}
     for b in counts.toArrow().to_batches():
         for lang, cell, n in zip(*(b.column(c).to_pylist() for c in ("lang", "cell", "n")), strict=True):

@@ -7,12 +7,12 @@ other tokens have their index vector alone. A document is the mean of its tokens
 ratios (length, distinct tokens, repeated lines). A two-layer network, trained with numpy in the
 driver, gives a logit; a temperature fitted on a validation part of the sample makes it a probability.
 
-The sample: at most sample_rows labelled documents that are not held out, those of smallest id hash;
-whole texts. Nothing else is learnt from, and the scoring of documents is narrow.
+The sample: at most sample_rows labels of documents that are not held out, those of smallest id hash;
+whole texts, which stay on the executors. Nothing else is learnt from, and the scoring is narrow.
 
 Defined cases: null and empty texts are scored as a document without tokens; without any usable
-label every score is 0.5; null labels are ignored, repeated labels count each; rows may repeat and
-ids may be null; an empty table gives an empty result; other columns are ignored.
+label every score is 0.5; null labels are ignored, repeated labels count each, ties of a hash go by
+the label; rows may repeat and ids may be null; very long texts are read whole, one at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, held_out, in_slices
+from tidemark.llm.common import arrow_rows, held_out, in_slices, settle
 
 DIM, NONZERO, EXTRA, KNOWN, REMEMBER = 96, 8, 6, 20_000, 300_000
 _token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -141,36 +142,78 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self._logit((pooled - self.mean) / self.scale) / self.temperature, -60, 60)))
 
 
-def word_vectors(texts: list[str], reach: int = 2) -> dict[str, np.ndarray]:
-    """Random indexing over the sample: the KNOWN most frequent tokens, ties in order of the token."""
-    counts = Counter(w for t in texts for w in tokens(t))
-    known = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:KNOWN])}
-    index, n = index_vectors(list(known)), len(known)
-    pairs = [np.zeros(0, np.int64)]
+def frequent_tokens(sample: DataFrame) -> list[str]:
+    """The KNOWN most frequent tokens of the sample, ties in order of the token."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, "text"):
+            n = Counter(w for t in b.column("text").to_pylist() for w in tokens(t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["w", "n"])
+
+    counts = arrow_rows(sample.select("text"), work, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(KNOWN).collect()]
+
+
+def neighbour_counts(texts: list[str], known: dict[str, int], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, times): pair a * len(known) + b where known tokens a and b stand within reach of each other."""
+    n, pairs = len(known), [np.zeros(0, np.int64)]
     for t in texts:
         ids = np.array([known.get(w, -1) for w in tokens(t)], np.int64)
         for d in range(1, reach + 1):
             a, b = ids[:-d], ids[d:]
             a, b = a[k := (a >= 0) & (b >= 0)], b[k]
             pairs += [a * n + b, b * n + a]
-    pair, times = np.unique(np.concatenate(pairs), return_counts=True)
-    a, b = (pair // n, pair % n) if n else (pair, pair)
-    context = np.stack([np.bincount(a, weights=times * index[b, d], minlength=n) for d in range(DIM)], axis=1)
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = (index + 0.5 * context / np.maximum(norm, 1e-6)).astype(np.float32)
-    return {w: vectors[i] for w, i in known.items()}
+    return np.unique(np.concatenate(pairs), return_counts=True)
+
+
+def word_vectors(sample: DataFrame, reach: int = 2) -> dict[str, np.ndarray]:
+    """Random indexing over the sample, on the executors; the driver gets at most KNOWN vectors.
+
+    Pairs of neighbours are counted batch by batch and added up before a token's vector is made, so that a frequent
+    token's group holds at most KNOWN rows.
+    """
+    names = frequent_tokens(sample)
+    known, n = {w: i for i, w in enumerate(names)}, len(names)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, "text", 2 << 20):
+            pair, times = neighbour_counts(b.column("text").to_pylist(), known, reach)
+            yield pa.RecordBatch.from_arrays([pa.array(pair // max(n, 1)), pa.array(pair % max(n, 1)), pa.array(times)], names=["a", "b", "n"])
+
+    def context(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("b")
+        total = pdf["n"].to_numpy(float) @ index_vectors([names[b] for b in pdf["b"]]).astype(float)
+        return pd.DataFrame({"a": [key[0]], "v": [total / max(np.linalg.norm(total), 1e-6)]})
+
+    counted = arrow_rows(sample.select("text"), pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    vectors = index_vectors(names)
+    for r in counted.groupBy("a").applyInPandas(context, "a long, v array<double>").collect():
+        vectors[r["a"]] += 0.5 * np.array(r["v"], np.float32)
+    return dict(zip(names, vectors, strict=True))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+    """The driver gets the sample's ids, tokens, vectors and pooled features, all bounded by sample_rows and KNOWN; texts stay on the executors."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-    sample = marked.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h", "y").limit(sample_rows)
+    chosen = marked.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h", "y").limit(sample_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # At most sample_rows ids and numbers, whatever the size of the tables: small enough to broadcast.
-    rows = texts.join(F.broadcast(sample), "doc_id").orderBy("h", "y").select("text", "y").collect()
-    model = QualityModel(word_vectors([r["text"] for r in rows]))
+    # At most sample_rows ids, whatever the size of the tables: small enough to broadcast. Of rows that repeat an id, the text of smallest hash counts.
+    ids = F.broadcast(chosen.groupBy("doc_id").agg(F.min("h").alias("h"), F.sort_array(F.collect_list("y")).alias("ys")))
+    sample = texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "h", "ys", "text")).alias("s"))
+    sample = settle(sample.select("s.h", "s.ys", "s.text"), "sample")
+    model = QualityModel(word_vectors(sample))
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = TokenMemory()
+        for b in in_slices(batches, "text"):
+            x = model.pooled(b.column("text").to_pylist(), memory)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("ys"), pa.array(list(x), pa.list_(pa.float32()))], names=["h", "ys", "x"])
+
+    rows = arrow_rows(sample, pool, "h long, ys array<int>, x array<float>").select("h", "x", F.explode("ys").alias("y")).collect()
+    rows.sort(key=lambda r: (r["h"], r["y"], r["x"]))
     y = np.array([r["y"] for r in rows], float)
     if len(set(y.tolist())) == 2:
-        model.fit(model.pooled([r["text"] for r in rows], TokenMemory()), y)
+        model.fit(np.array([r["x"] for r in rows]), y)
     return model
 
 

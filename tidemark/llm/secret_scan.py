@@ -7,11 +7,12 @@ a run outside base spans (20 characters or more each). A part whose total ratio
 a secret too; else each of its best-scoring stretches is that reaches it, so identifiers before a token
 can't hide it. A stretch of under 20 characters, grown to the ends of its letters and digits, is none. The models are learnt
 from labelled samples: random strings made by hashing a fixed range, and identifiers joined from all
-words of at most sample_rows documents (those of smallest id hash) that hold no base span.
+words of at most sample_rows documents (those of smallest hash of id and text; repeats of a row count
+with it) that hold no base span.
 
 Defined cases: a null text is an empty one without spans; rows may repeat, ids may be null; an empty
 table gives an empty result (and a model of random strings alone); other columns are ignored, and
-kept by redact().
+kept by redact(). Very long texts are scanned whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let
+from tidemark.llm.common import let, smallest_hashes
 
 # The kinds in order, their patterns and least lengths (group 2 for assign, else the match).
 KINDS = {
@@ -65,7 +66,7 @@ def samples(docs: DataFrame, sample_rows: int = 2000, random_rows: int = 4000) -
     """(value, random boolean): labelled strings to learn from. docs: (doc_id, text)."""
     seed = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     made = docs.sparkSession.range(random_rows).select(F.explode(F.array(F.base64(F.unhex(seed)), seed, F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(seed.cast("binary"), 512))), "[+/=]", ""), 1, 40), F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(seed.cast("binary"), 384))), "[+/=]", ""), 1, 24)))).alias("value"), F.lit(True).alias("random"))
-    clean = docs.filter("text IS NOT NULL").orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")).limit(sample_rows)
+    clean = smallest_hashes(docs.filter("text IS NOT NULL"), F.xxhash64(F.col("doc_id").cast("string"), "text"), sample_rows)
     clean = clean.filter(F.size(base_spans(F.col("text"))) == 0).select(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w")).filter("size(w) > 0")
     # Each three words make an identifier, joined in turn by one of four signs; all words stand by themselves too.
     sign = F.array(*map(F.lit, ("_", "", "-", "/")))
