@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_rows, settle
 
 #: Pivots at least and at most, vectors of the sample they come from, annuli in all, members of an annulus before one more is made, members and queries of a task's group, members scored at once.
-PIVOTS, SAMPLE, ANNULI, SMALL, BLOCK, CHUNK, SCAN = (16, 128), 4096, 4096, 128, 65_536, 4096, 64
+PIVOTS, SAMPLE, ANNULI, SMALL, BLOCK, CHUNK, SCAN = (16, 128), 4096, 4096, 2048, 65_536, 4096, 64
 LONGEST = (1 << 63) - 1
 
 
@@ -85,7 +85,7 @@ class PivotIndex:
         self.dim, self.norm, self.k = dim, norm, k
         x = self.lifted(unpacked(sample, dim))
         chosen, far = [0], np.full(len(x), np.inf)
-        while len(chosen) < min(max(PIVOTS[0], min(PIVOTS[1], int(n**0.5) // 4)), len(x)):
+        while len(chosen) < min(max(PIVOTS[0], min(PIVOTS[1], int(n**0.5) // 16)), len(x)):
             far = np.minimum(far, self.distances(x, x[chosen[-1:]])[:, 0])
             chosen.append(int(far.argmax()))
         self.pivots = x[chosen]
@@ -136,13 +136,14 @@ def scan(ids: np.ndarray, x: np.ndarray, r: np.ndarray, q: np.ndarray, at: float
     length = float(np.sqrt(((q / norm) ** 2).sum()) * norm)
     low = high = int(np.searchsorted(r, at))
     found_ids, found, scored = np.zeros(0, np.int64), np.zeros(0, float if exact else object), 0
-    limit = reach(norm, length, kth)
+    limit, step = reach(norm, length, kth), SCAN
     while True:
         down, up = (at - r[low - 1] if low > 0 else np.inf), (r[high] - at if high < len(r) else np.inf)
         if min(down, up) > limit or (low == 0 and high == len(r)):
             return found_ids, found, scored
-        part = slice(max(0, low - SCAN), low) if down <= up else slice(high, min(len(r), high + SCAN))
-        low, high = min(low, part.start), max(high, part.stop)
+        # Steps grow, but never past the bound as it stands.
+        part = slice(min(low - 1, max(0, low - step, int(np.searchsorted(r, at - limit)))), low) if down <= up else slice(high, max(high + 1, min(len(r), high + step, int(np.searchsorted(r, at + limit, side="right")))))
+        low, high, step = min(low, part.start), max(high, part.stop), step * 2
         scores = products(x[part], q, exact)
         scored += len(scores)
         found_ids, found = np.r_[found_ids, ids[part]], np.concatenate([found, scores])
@@ -247,6 +248,8 @@ def top_k(rows: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col
             back = np.argsort(order)
             for qid, q, kth, at in zip(right["qid"].tolist(), right["q"].tolist(), right["kth"].tolist(), right["at"].tolist(), strict=True):
                 found, scores, _ = scan(order, x, r, unpacked([q], dim)[0], at, kth, norm, k + 1, exact)
+                if exact and np.isfinite(kth):  # others can't be among the best
+                    found, scores = found[scores >= kth], scores[scores >= kth]
                 out += [(qid, int(ids[back[i]]), int(places[back[i]]), str(int(s)), max(-LONGEST - 1, min(LONGEST, int(s)))) for i, s in zip(found.tolist(), scores.tolist(), strict=True)]
             return pd.DataFrame(out, columns=["qid", "vec_id", "row", "value", "score"])
 
