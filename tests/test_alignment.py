@@ -1,4 +1,7 @@
-"""Literal cases and properties of the alignment operators, and the DuckDB comparison on the smallest tables."""
+"""Literal cases and properties of the alignment operators, and the DuckDB comparison on the smallest tables.
+
+Texts, times and results of the literal cases are fixed values.
+"""
 
 import itertools
 import random
@@ -8,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import align, changes, gates, path, segments, structure
+from tidemark.operators import align, changes, gates, path, scores, segments, structure
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +22,7 @@ def one(spark, **columns):
 
 
 def test_scalars(spark):
-    r = one(spark, slug=T.slug(F.lit("/tmp/4.1BERT-2训练.mp4")), a=T.hms(F.lit(0.0)), b=T.hms(F.lit(12.4)), c=T.hms(F.lit(450.049)), s=T.stamp(F.lit(3723.0)), t=T.slide_text(F.lit("RNN整体网络结构 ǜ֩−1")), f=T.formulas(F.lit("再计算 P(y_i)=e^{z_i}/sum_j e^{z_j}。")), h=T.heading(F.lit("本段讲解了 BERT 输入构造")), k=T.tokens(F.lit("The a 网络 网 RNN_x")), u=T.unique_points(F.array(F.lit("one point"), F.lit("one point"), F.lit("other"), F.lit("a point")), 5))
+    r = one(spark, slug=T.slug(F.lit("/tmp/4.1BERT-2训练.mp4")), a=T.hms(F.lit(0.0)), b=T.hms(F.lit(12.4)), c=T.hms(F.lit(450.049)), s=T.stamp(F.lit(3723.0)), t=T.slide_text(F.lit("RNN整体网络结构 ǜ֩−1")), f=T.formulas(F.array(F.lit("再计算 P(y_i)=e^{z_i}/sum_j e^{z_j}。"))), h=T.heading(F.lit("本段讲解了 BERT 输入构造")), k=T.tokens(F.lit("The a 网络 网 RNN_x")), u=T.unique_points(F.array(F.lit("one point"), F.lit("one point"), F.lit("other"), F.lit("a point")), 5))
     assert (r["slug"], r["a"], r["b"], r["c"], r["s"]) == ("4-1bert-2训练", "00:00:00", "00:00:12", "00:07:30", "[01:02:03]")
     assert r["t"] == "RNN整体网络结构" and r["f"] == ["P(y_i)=e^{z_i}/sum_j e^{z_j}"] and r["h"] == "BERT 输入构造"
     assert r["k"] == ["the", "网络", "rnn"] and r["u"] == ["one point", "other", "a point"]
@@ -42,15 +45,60 @@ def test_upsert(spark):
     assert sorted((r["at"], r["v"]) for r in changes.upsert(a, b, ["stream_id", "at"]).collect()) == [(37, "b"), (49, "b"), (74, "a")]
 
 
+FRAME = "stream_id long, event_id long, ts double, change_ratio double, component_ratio double, scene_score double, phash string, ocr_text string"
+
+
+def frames_of(spark, rows):
+    """rows: (ts, change ratio, largest part, hash, text)."""
+    return spark.createDataFrame([(1, i, float(t), c, p, 0.0, h, x) for i, (t, c, p, h, x) in enumerate(rows)], FRAME)
+
+
 def test_retro_mark(spark):
-    rows = [(1, i, float(t), "e", c, x) for i, (t, c, x) in enumerate([(0, 0.0, "aa bb"), (10, 0.0, "aa bb"), (20, 0.0, "aa bb"), (30, 0.5, "cc dd")])]
-    f = spark.createDataFrame(rows, "stream_id long, event_id long, ts double, event_type string, change_ratio double, ocr_text string")
-    got = [(r["change_kind"], r["reason"]) for r in changes.change_kinds(f).orderBy("ts").collect()]
+    got = [(r["change_kind"], r["reason"]) for r in changes.change_kinds(frames_of(spark, [(0, 0.0, 0.0, "", "aa bb"), (10, 0.0, 0.0, "", "aa bb"), (20, 0.0, 0.0, "", "aa bb"), (30, 0.5, 0.0, "", "cc dd")])).orderBy("ts").collect()]
     assert got == [("no_change", "opening_frame"), ("no_change", ""), ("no_change", "stable_before_change"), ("page_change", "closing_frame")]
 
 
+def test_broad_changes(spark):
+    # 0.1 of the pixels is a page's change only if a part of 0.02 changes; a text that stays the same never is one.
+    rows = [(0, 0.0, 0.0, "", "aa bb"), (10, 0.1, 0.01, "", "cc dd"), (20, 0.0, 0.0, "", "cc dd"), *[(30 + i, 0.0, 0.0, "", "cc dd") for i in range(5)], (40, 0.1, 0.02, "", "ee ff"), *[(50 + i, 0.0, 0.0, "", "ee ff") for i in range(5)], (60, 0.5, 0.5, "", "ee ff")]
+    got = changes.change_kinds(frames_of(spark, rows)).orderBy("ts").collect()
+    assert {r["ts"]: r["change_kind"] for r in got if r["change_kind"] != "no_change"} == {10.0: "annotation_like_change", 40.0: "page_change", 60.0: "annotation_like_change"}
+    assert got[0]["similarity"] == 0.0
+
+
+def test_units(spark):
+    text = "recognised words of a page with enough to say"
+    rows = [(0, 0.0, 0.0, "a" * 16, text + " one"), (10, 0.0, 0.0, "a" * 15 + "b", text + " two"), (20, 0.0, 0.0, "b" * 16, "other matter entirely")]
+    frames = frames_of(spark, rows).withColumn("candidate", F.lit(False)).withColumn("change_kind", F.lit("no_change"))
+    got = changes.visual_units(frames).orderBy("unit_number").collect()
+    assert [(r["unit_id"], r["frame_count"], r["low"]) for r in got] == [("visual_unit_001", 2, False), ("visual_unit_002", 1, False)]
+    # With candidates, only these and the ends are pages.
+    marked = frames.withColumn("candidate", F.col("event_id") == 0)
+    assert [r["frames"] for r in changes.visual_units(marked).orderBy("unit_number").collect()] == ["0", "2"]
+
+
+def test_representative_is_nearest_to_the_mean(spark):
+    rows = [(0, 0.0, 0.0, "a" * 16, "same text"), (1, 0.0, 0.0, "a" * 16, "same text"), (2, 0.0, 0.0, "a" * 16, "same text"), (100, 0.0, 0.0, "a" * 16, "same text")]
+    # The mean is 25.75, the middle of the ends 50: the mean's nearest is the third.
+    assert changes.representatives(changes.clusters(frames_of(spark, rows))).first()["event_id"] == 2
+
+
+def test_change_scan(spark):
+    # Ten samples a second apart, one jump after the fifth; a gap of two seconds.
+    rows = [(i, 1.0 if i == 5 else 0.0, 1.0 if i == 5 else 0.0, "", "") for i in range(10)]
+    got = changes.change_points(frames_of(spark, rows).withColumn("duration", F.lit(10.0)), gap=2)
+    assert sorted(r["at"] for r in got.collect()) == [0, 4, 9]
+
+
 def test_thinned():
-    assert changes.thinned([(0, 1.0), (4, 5.0), (9, 2.0), (20, 1.0)], 8) == [(4, 5.0), (20, 1.0)] or changes.thinned([(0, 1.0), (4, 5.0), (9, 2.0), (20, 1.0)], 8)[0] == (4, 5.0)
+    assert changes.thinned([(0, 1.0), (4, 5.0), (9, 2.0), (20, 1.0)], 8) == [(4, 5.0), (20, 1.0)]
+    assert changes.thinned([(0, 1.0), (4, 1.0)], 8) == [(4, 1.0)]
+
+
+def test_page_titles(spark):
+    cases = [("目录", "目录"), ("Deep nets | more", "Deep nets"), ("Attention a b c d", "Attention"), ("x" * 90 + " | RNN 结构", "RNN 结构"), ("输 入 层 结构", "输 入"), ("", "Slide 7"), ("❄❄❄ | ok title", "ok title")]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "t string")
+    assert [r["x"] for r in df.select(T.page_title(F.col("t"), F.lit(7)).alias("x")).collect()] == [b for _, b in cases]
 
 
 def test_segmentation_keeps_order_and_all():
@@ -69,30 +117,60 @@ def test_path_is_best():
     rng = random.Random(2)
     for _ in range(60):
         rows = [[(i, float(rng.randint(0, 60))) for i in rng.sample(range(1, 12), rng.randint(1, 4))] for _ in range(rng.randint(1, 5))]
-        chosen, totals = path.best_path(rows)
+        found = path.Path(rows)
 
         def worth(places, rows=rows):
             p = [rows[n][k] for n, k in enumerate(places)]
-            return path.opening(*p[0]) + sum(s for _, s in p) + sum(path.step(b[0] - a[0]) for a, b in itertools.pairwise(p))
+            return path.opening(*p[0])[0] + sum(s for _, s in p) + sum(path.step(b[0] - a[0])[0] for a, b in itertools.pairwise(p))
 
         best = max(worth(c) for c in itertools.product(*(range(len(r)) for r in rows)))
-        assert abs(worth(chosen) - best) < 1e-9 and all(abs(t[k] - best) < 1e-9 for t, k in zip(totals, chosen, strict=True))
+        assert abs(worth(found.chosen) - best) < 1e-9
+        assert all(abs(f[k] + a[k] - best) < 1e-9 for f, a, k in zip(found.forward, found.after, found.chosen, strict=True))
 
 
 def test_order_beyond_999_segments(spark):
     # The path must go 1, 2, 3, .. by number: by text, segment_1000 would stand between 100 and 101.
     ids = [f"segment_{n:03d}" for n in range(1, 1102)]
-    rows = [(1, s, n // 4 + k, 1.0, k + 1) for n, s in enumerate(ids) for k in range(2)]
-    got = path.slide_paths(spark.createDataFrame(rows[::-1], "stream_id long, segment_id string, slide_index int, score double, rank int")).collect()
-    chosen, _ = path.best_path([[(n // 4, 1.0), (n // 4 + 1, 1.0)] for n in range(len(ids))])
+    rows = [(1, n + 1, s, n // 4 + k, 1.0, k + 1) for n, s in enumerate(ids) for k in range(2)]
+    got = path.slide_paths(spark.createDataFrame(rows[::-1], "stream_id long, segment_number int, segment_id string, slide_index int, score double, rank int")).collect()
+    chosen = path.Path([[(n // 4, 1.0), (n // 4 + 1, 1.0)] for n in range(len(ids))]).chosen
     assert {r["segment_id"]: r["slide_index"] for r in got if r["selected"]} == {s: n // 4 + c for n, (s, c) in enumerate(zip(ids, chosen, strict=True))}
 
-    aligned = spark.createDataFrame([(1, s, "", f"t{n}", "none", "", float(n), n + 1.0) for n, s in enumerate(ids)], "stream_id long, segment_id string, summary string, text string, mode string, slide_title string, start double, end double")
+    visual = "array<struct<id:string,score:double,ts:double,title:string,ocr_text:string,relative_path:string>>"
+    aligned = spark.createDataFrame([(1, n + 1, s, "", f"t{n}", "", float(n), n + 1.0) for n, s in enumerate(ids)], "stream_id long, segment_number int, segment_id string, summary string, text string, cleaned_text string, start double, end double").withColumn("selected_visuals", F.array().cast(visual))
     sections = structure.outline(aligned)
-    assert [r["segment_id"] for r in sections.orderBy("start").collect()] == ids
+    assert [r["segment_id"] for r in sections.orderBy("number").collect()] == ids
     assert {r["segment_id"]: r["section_id"] for r in sections.collect()} == {s: s.replace("segment", "section") for s in ids}
-    lines = structure.ordered_lines(sections, "section_id", F.array("segment_id")).first()["markdown"]
-    assert lines.split("\n") == ids
+    assert structure.ordered_lines(sections, "number", F.array("segment_id")).first()["markdown"] == ids
+
+
+def aligned_one(spark, segments, units=(), slides=(), frames=()):
+    """Modes of segments (number, start, end, summary, text) against units, slides and frames, by the ladder."""
+    s = spark.createDataFrame([(1, n, f"segment_{n:03d}", float(a), float(b), m, [], x, "", [], 1, "slides-first" if slides else "video-first") for n, a, b, m, x in segments], "stream_id long, segment_number int, segment_id string, start double, end double, summary string, issues array<string>, text string, cleaned_text string, hints array<string>, deck int, source_mode string")
+    u = spark.createDataFrame([(1, n, f"visual_unit_{n:03d}", n, float(t), x, low) for n, t, x, low in units], "stream_id long, unit_number int, unit_id string, event_id int, ts double, ocr_text string, low boolean").withColumn("tokens", T.tokens(F.col("ocr_text")))
+    p = spark.createDataFrame([(1, i, t, x, f"s{i}", low) for i, t, x, low in slides], "deck int, slide_index int, title string, text string, relative_path string, low boolean")
+    f = spark.createDataFrame([(1, n, float(t), x) for n, t, x in frames], "stream_id long, event_id int, ts double, ocr_text string")
+    rows = align.alignment(scores.with_tokens(s), f, p, u).orderBy("segment_number").collect()
+    return [(r["mode"], [v["id"] for v in r["selected_visuals"]], r["borrow_reason"] != "", r["reject_reason"] != "") for r in rows]
+
+
+def test_mode_ladder(spark):
+    said = [(1, 0, 40, "about attention", "attention heads CLS")]
+    assert aligned_one(spark, said, slides=[(4, "attention heads", "x", False), (5, "attention heads", "x", True)]) == [("ppt_slide_match", ["slide_004"], False, False)]
+    assert aligned_one(spark, said, units=[(1, 182, "attention heads", False), (2, 22, "attention heads", False)]) == [("visual_unit_nearby", ["visual_unit_002"], False, False)]
+    assert aligned_one(spark, said, units=[(1, 400, "attention heads", False)]) == [("visual_unit_global", ["visual_unit_001"], False, False)]
+    # Weight 0.75 is too little from afar.
+    assert aligned_one(spark, said, units=[(1, 181, "CLS", False)]) == [("none", [], False, True)]
+    assert aligned_one(spark, said, units=[(1, 22, "attention", True)]) == [("suppressed_low_value", [], False, True)]
+    # Two good units lend; the nearer comes first. A lone word of weight 0 is no overlap.
+    assert aligned_one(spark, said, units=[(1, 22, "attention", True), (2, 110, "CLS", False), (3, 90, "CLS", False), (4, 80, "transformer", False)]) == [("borrowed_nearby_visual", ["visual_unit_003", "visual_unit_002"], True, False)]
+    assert aligned_one(spark, said, frames=[(7, 50, "words"), (8, 300, "attention")]) == [("frame_fallback", ["frame_8"], True, False)]
+
+
+def test_titles_are_looked_for_as_written(spark):
+    s = scores.with_tokens(spark.createDataFrame([(1, 1, "segment_001", "Net and 网 here", [], "", "", [], 1)], "stream_id long, segment_number int, segment_id string, summary string, issues array<string>, text string, cleaned_text string, hints array<string>, deck int"))
+    p = spark.createDataFrame([(1, 1, "Net and"), (1, 2, "net and"), (1, 3, "网"), (1, 4, "et a"), (1, 5, "Net and 网 herewith"), (2, 6, "Net and")], "deck int, slide_index int, title string")
+    assert sorted(r["slide_index"] for r in scores.exact_titles(s, p).collect()) == [1, 3, 4]
 
 
 def test_gates(spark):
@@ -102,8 +180,21 @@ def test_gates(spark):
 
 def test_stage_plan(spark):
     rows = [(1, s, True, s == "note") for s in gates.STAGES] + [(2, s, False, s == "transcribe") for s in gates.STAGES]
-    got = {(r["stream_id"], r["stage"]): r["run"] for r in gates.stage_plan(spark.createDataFrame(rows, "stream_id long, stage string, ready boolean, forced boolean")).collect()}
-    assert [s for s in gates.STAGES if got[1, s]] == ["note", "metadata"] and all(got[2, s] for s in gates.STAGES)
+    got = {(r["stream_id"], r["stage"]): (r["run"], r["reason"]) for r in gates.stage_plan(spark.createDataFrame(rows, "stream_id long, stage string, ready boolean, forced boolean")).collect()}
+    assert [s for s in gates.STAGES if got[1, s][0]] == ["note", "metadata"] and all(got[2, s][0] for s in gates.STAGES)
+    assert {got[1, s][1] for s in gates.STAGES[:6]} == {"preserved for note-only rerender"}
+
+
+def test_review_gate(spark):
+    why = lambda **k: gates.review_reasons(*(k.get(n, F.lit(d)) for n, d in (("raw", "x" * 200), ("cleaned", "y"), ("status", "done"), ("updated", "now"))), k.get("missing", F.array().cast("array<string>")), k.get("n", F.lit(3)))
+    r = one(spark, a=why(), b=why(cleaned=F.lit(None).cast("string")), c=why(n=F.lit(2), missing=F.array(F.lit("segment_002")), updated=F.lit(None).cast("string")), d=why(cleaned=F.lit("x" * 200)))
+    assert r["a"] == [] and r["b"] == ["transcript.cleaned.txt 不存在"] and len(r["d"]) == 1
+    assert r["c"] == ["last_updated 为空", "segment_reviews 未覆盖全部分段: segment_002", "有效纠错条目不足 3 条"]
+
+
+def test_expected_frames(spark):
+    r = one(spark, a=gates.expected_frames(F.lit(450.0), F.lit(60), F.lit(4)), b=gates.expected_frames(F.lit(100.0), F.lit(60), F.lit(4)), c=gates.expected_frames(F.lit(0.0), F.lit(60), F.lit(4)), d=gates.expected_frames(F.lit(120.0), F.lit(60), F.lit(4)))
+    assert (r["a"], r["b"], r["c"], r["d"]) == (4, 3, 0, 2)
 
 
 def test_repeated_titles():
@@ -111,9 +202,15 @@ def test_repeated_titles():
     assert structure.without_repeats(["a", "a", "a"], ["a", "a", "a"]) == ["a", "a（续）", "a"]
 
 
-def test_stamps_leave_the_body(spark):
-    n = spark.createDataFrame([(1, "# T [00:01]\n## 课程内容\n### h [00:02]\nx [00:03]\n## 知识小结\ny [00:04]")], "stream_id long, markdown string")
-    assert structure.without_body_stamps(n).first()["markdown"] == "# T [00:01]\n## 课程内容\n### h [00:02]\nx\n## 知识小结\ny [00:04]"
+def test_stamps_leave_the_lecture(spark):
+    n = spark.createDataFrame([(1, "# T [00:01]\nx [00:09]\n## 课程讲义\n### h [00:02]\nx [00:03]\n- 1. a [00:05]\n| y [00:06] |\n![i](pipeline/a/b.png) [00:07]\n## 关键截图索引\ny [00:04]")], "stream_id long, markdown string")
+    assert structure.without_body_stamps(n).first()["markdown"] == "# T [00:01]\nx [00:09]\n## 课程讲义\n### h [00:02]\nx\n- 1. a [00:05]\n| y [00:06] |\n![i](../a/b.png) [00:07]\n## 关键截图索引\ny [00:04]"
+
+
+def test_asset_paths(spark):
+    cases = [("pipeline/a/b.png", "../a/b.png"), ("./x//y/./z", "x/y/z"), ("/abs/p", "/abs/p"), ("https://h/p", "https://h/p"), ("pipeline", "pipeline"), ("  ", "")]
+    df = spark.createDataFrame([(a,) for a, _ in cases], "p string")
+    assert [r["x"] for r in df.select(structure.asset_path(F.col("p")).alias("x")).collect()] == [b for _, b in cases]
 
 
 def test_no_cross_product(spark):

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.changes import band
+from tidemark.operators.scores import in_band
 
 _final = re.compile(r"""[。！？!?；;.](["'”’)\]]+)?$""")
 
@@ -37,7 +37,7 @@ def grouped(rows: list[tuple[float, float, str]], max_chars: int = 280, max_span
 
 
 def review_segments(utterances: DataFrame, **limits: float) -> DataFrame:
-    """(stream_id, segment_id, start, end, segment_indexes, char_count, text); a stream is folded in order by one task, streams in parallel."""
+    """(stream_id, segment_number, segment_id, start, end, segment_indexes, char_count, text); a stream is folded in order by one task, streams in parallel."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "index"], kind="stable")
@@ -47,13 +47,15 @@ def review_segments(utterances: DataFrame, **limits: float) -> DataFrame:
     rows = utterances.select("stream_id", "index", "start", "end", "text")
     g = rows.groupBy("stream_id").applyInPandas(work, "stream_id long, index long, start double, end double, text string, g long")
     parts = F.array_sort(F.collect_list(F.struct("start", "index", "end", "text")))
-    out = g.groupBy("stream_id", "g").agg(parts.alias("p")).select("stream_id", F.format_string("segment_%03d", F.col("g") + 1).alias("segment_id"), F.col("p")[0]["start"].alias("start"), F.element_at("p", -1)["end"].alias("end"), F.transform("p", lambda x: x["index"]).alias("segment_indexes"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
+    out = g.groupBy("stream_id", "g").agg(parts.alias("p")).select("stream_id", (F.col("g") + 1).cast("int").alias("segment_number"), F.format_string("segment_%03d", F.col("g") + 1).alias("segment_id"), F.col("p")[0]["start"].alias("start"), F.element_at("p", -1)["end"].alias("end"), F.transform("p", lambda x: x["index"]).alias("segment_indexes"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
     return out.withColumn("char_count", F.char_length("text"))
 
 
 def hints(segments: DataFrame, frames: DataFrame, reach: float = 5.0, most: int = 3) -> DataFrame:
-    """The first distinct texts of frames beside each segment, in frame order."""
-    near = segments.select("stream_id", "segment_id", "start", "end").join(frames.filter("trim(ocr_text) <> ''").select("stream_id", "ts", "event_id", "ocr_text"), "stream_id").filter(band(F.col("ts"), F.col("start"), F.col("end"), reach))
-    first = near.groupBy("stream_id", "segment_id", "ocr_text").agg(F.min(F.struct("ts", "event_id")).alias("at"))
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("stream_id", "segment_id").orderBy("at"))).filter(F.col("r") <= most)
-    return ranked.groupBy("stream_id", "segment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "ocr_text"))), lambda x: x["ocr_text"]), "\n").alias("hints"))
+    """(stream_id, segment_number, segment_id, hints array<string>): the first distinct texts of frames beside each segment, in frame order."""
+    keys = ["stream_id", "segment_number", "segment_id"]
+    said = frames.withColumn("ocr_text", F.trim("ocr_text")).filter("ocr_text <> ''").select("stream_id", "ts", "event_id", "ocr_text")
+    near = in_band(segments.select(*keys, "start", "end"), said, F.col("start") - reach, F.col("end") + reach, 120.0)
+    first = near.groupBy(*keys, "ocr_text").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).filter(F.col("r") <= most)
+    return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "ocr_text"))), lambda x: x["ocr_text"]).alias("hints"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import squeeze
+from tidemark.functions.text import clean_page_title, page_is_low, page_title, slide_text, squeeze
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +44,42 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user is a stream; an event is a frame at the hours since the user's first event."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", (F.col("value") / 500).alias("change_ratio"), F.concat_ws(" ", "event_type", "props").alias("ocr_text"))
     first = F.min("at").over(Window.partitionBy("stream_id"))
-    return rows.select("stream_id", "event_id", ((F.col("at") - first) / F.lit(3.6e9)).alias("ts"), "event_type", "change_ratio", "ocr_text")
+    component, scene = F.col("change_ratio") * (F.col("event_id") % 10) / 20, F.col("change_ratio") * 50
+    return rows.select("stream_id", "event_id", ((F.col("at") - first) / F.lit(3.6e9)).alias("ts"), "event_type", "change_ratio", component.alias("component_ratio"), scene.alias("scene_score"), F.substring(F.md5(F.col("event_type").cast("binary")), 1, 16).alias("phash"), "ocr_text")
+
+
+def page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents in a row are the frames of a stream, 16 s apart; their opening is the recognised text, two in a row have one hash."""
+    doc = F.col("doc_id")
+    ratio = (doc * 7919) % 1000 / 4000
+    rows = table(spark, sf_dir, "documents").select(F.floor(doc / 10).alias("stream_id"), doc.alias("event_id"), ((doc % 10) * 16).cast("double").alias("ts"), ratio.alias("change_ratio"), ((doc * 104729) % 100 / 2000).alias("component_ratio"), (ratio * 60).alias("scene_score"), F.substring(F.md5(F.floor(doc / 2).cast("string").cast("binary")), 1, 16).alias("phash"), squeeze(F.substring(F.coalesce("text", F.lit("")), 1, 160)).alias("ocr_text"))
+    return rows.withColumn("relative_path", F.format_string("frames/frame_%d.jpg", "event_id"))
 
 
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source's documents are its slide pages, in order of id; the title is the start of the first line."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    first = F.split("text", "\n")[0]
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("deck"), "doc_id", F.row_number().over(order).alias("slide_index"), F.substring(first, 1, 40).alias("title"), "text")
+    """Fifty documents in a row are a deck's pages; the first three lines are the page's text."""
+    lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 3)
+    index = (F.col("doc_id") % 50 + 1).cast("int")
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("deck"), index.alias("slide_index"), squeeze(F.array_join(F.transform(lines, lambda x: F.trim(F.substring(x, 1, 80))), " | ")).alias("text"))
+    return pages(rows)
+
+
+def pages(rows: DataFrame) -> DataFrame:
+    """(deck, slide_index, text) as slide pages: title, path, and whether they say little."""
+    rows = rows.withColumn("title", page_title(F.col("text"), F.col("slide_index")))
+    return rows.withColumn("relative_path", F.format_string("slides/slide_%03d.png", "slide_index")).withColumn("low", page_is_low(F.col("title"), F.col("text")))
+
+
+def sanitised(rows: DataFrame) -> DataFrame:
+    """Slide pages with clean text and title."""
+    text = slide_text(F.trim("text"))
+    out = rows.withColumn("text", text).withColumn("title", clean_page_title(F.trim("title"), F.col("text"), F.col("slide_index")))
+    return out.withColumn("low", page_is_low(F.col("title"), F.col("text")))
+
+
+def first_full(*sources: DataFrame) -> DataFrame:
+    """Of several sources of the same rows (stream_id first), the first that has any row of a stream gives all of that stream's."""
+    out = sources[0]
+    for other in sources[1:]:
+        out = out.unionByName(other.join(out.select("stream_id").distinct(), "stream_id", "left_anti"))
+    return out
