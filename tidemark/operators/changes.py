@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,6 +145,13 @@ def supplements(points: DataFrame, around: int = 12) -> DataFrame:
     return found.join(points.select("stream_id", "at"), ["stream_id", "at"], "left_anti")
 
 
+def refreshed_units(frames: DataFrame, durations: DataFrame, recognise: Callable[[DataFrame], DataFrame], around: int = 12) -> DataFrame:
+    """Visual units after a second look: frames beside units of low value are asked for (recognise takes (stream_id, at) and gives frames), take part, and units are built anew. durations: (stream_id, duration)."""
+    weak = visual_units(frames).join(durations, "stream_id").select("stream_id", F.floor("ts").cast("long").alias("at"), "duration", F.col("low").alias("weak"))
+    more = recognise(supplements(weak, around))
+    return visual_units(upsert(frames, more, ["stream_id", "ts"]))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both, one for each key; the new ones win."""
     both = old.withColumn("p", F.lit(0)).unionByName(new.withColumn("p", F.lit(1)))

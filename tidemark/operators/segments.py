@@ -59,3 +59,8 @@ def hints(segments: DataFrame, frames: DataFrame, reach: float = 5.0, most: int
     first = near.groupBy(*keys, "ocr_text").agg(F.min(F.struct("ts", "event_id")).alias("at"))
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("at"))).filter(F.col("r") <= most)
     return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "ocr_text"))), lambda x: x["ocr_text"]).alias("hints"))
+
+
+def related_frames(segments: DataFrame, frames: DataFrame, reach: float = 5.0) -> DataFrame:
+    """All frames beside each segment, bounds included."""
+    return in_band(segments.select("stream_id", "segment_number", "start", "end"), frames, F.col("start") - reach, F.col("end") + reach, 120.0).drop("start", "end")

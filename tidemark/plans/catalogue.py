@@ -312,8 +312,8 @@ def valid_corrections(spark, sf):
     return _corrections(spark, sf).select("item_id", gates.valid_correction(F.col("raw"), F.col("cleaned"), F.col("reason"), F.col("evidence")).alias("valid"), gates.required_corrections(F.col("raw")).cast("long").alias("required"))
 
 
-def _merged(spark, sf) -> DataFrame:
-    """Reviews with corrections: a comma gone is one, with a reason in two of three segments."""
+def _results(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Segments; reviews with corrections: a comma gone is one, with a reason in two of three segments."""
     raw = F.col("text")
     reason = F.when(F.col("segment_number") % 3 != 0, "style").otherwise("")
     one = F.struct(raw.alias("raw"), F.regexp_replace(raw, ",", "").alias("cleaned"), reason.alias("reason"), F.array(F.lit("page")).alias("evidence"))
@@ -321,7 +321,22 @@ def _merged(spark, sf) -> DataFrame:
     made = s.select("stream_id", "segment_number", F.when(F.contains(raw, F.lit(",")), F.array(one)).otherwise(F.array(one.withField("cleaned", F.lit("")))).alias("corrections"))
     at = ["stream_id", "segment_number"]
     results = _reviews(s).join(_cleaned(s), at, "left").join(made, at).withColumn("attempts", F.col("segment_number") % 2 + 1)
-    return gates.merged_review(s.select(*at, "segment_id", "text"), results.select(*at, "cleaned_text", "summary", "status", "corrections", "attempts"))
+    updated = F.when(F.col("segment_number") % 5 != 0, "2020-01-01").alias("updated")
+    return s.select(*at, "segment_id", "text"), results.select(*at, "cleaned_text", "summary", "status", "corrections", "attempts", updated)
+
+
+def _merged(spark, sf) -> DataFrame:
+    return gates.merged_review(*_results(spark, sf))
+
+
+@query
+def segment_review_reasons(spark, sf):
+    return gates.segment_reasons(*_results(spark, sf)).select("stream_id", "segment_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query
+def related_frames(spark, sf):
+    return seg.related_frames(_segments(spark, sf), A.page_frames(spark, sf)).select("stream_id", "segment_number", "event_id", "ts")
 
 
 def _report(spark, sf) -> DataFrame:

@@ -208,7 +208,7 @@ FRAME_ID = "'frame_' || event_id"
 SLIDE_ID = "'slide_' || lpad(slide_index::VARCHAR, 3, '0')"
 FIVE = '"rank" <= 5'
 #: The mode ladder; every step looks at the segments that the steps before left.
-ALIGNMENT = f"""WITH s AS MATERIALIZED ({SCORED}), led AS (SELECT * FROM s WHERE source_mode = 'slides-first'),
+LADDER = f"""WITH s AS MATERIALIZED ({SCORED}), led AS (SELECT * FROM s WHERE source_mode = 'slides-first'),
 p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY stream_id, segment_number ORDER BY NOT selected, score DESC, slide_index) AS "rank" FROM ({slide_path("SELECT * FROM led")})),
 rest AS MATERIALIZED (SELECT * FROM s WHERE (stream_id, segment_number) NOT IN (SELECT (stream_id, segment_number) FROM p)),
 n AS MATERIALIZED ({near_units("SELECT * FROM rest")}),
@@ -219,8 +219,89 @@ f AS MATERIALIZED ({frame_matches("SELECT * FROM rest WHERE (stream_id, segment_
 one AS (SELECT s.*, pl, ul, ll, fl, u.m, u.low, u.score AS u_score, u.unit_id AS u_id, coalesce(ul IS NOT NULL AND NOT u.low, false) AS good FROM s LEFT JOIN ({listed(f"SELECT * FROM p WHERE {FIVE}", "pl", SLIDE_ID, '"rank"')}) USING (stream_id, segment_number) LEFT JOIN ({listed(f"SELECT * FROM u WHERE {FIVE}", "ul", "unit_id", '"rank"')}) USING (stream_id, segment_number)
   LEFT JOIN ({listed("SELECT * FROM l", "ll", "unit_id", '"rank"')}) USING (stream_id, segment_number) LEFT JOIN ({listed("SELECT * FROM f", "fl", FRAME_ID, '"rank"')}) USING (stream_id, segment_number) LEFT JOIN (SELECT * FROM u WHERE "rank" = 1) u USING (stream_id, segment_number)),
 modes AS (SELECT *, CASE WHEN pl IS NOT NULL THEN 'ppt_slide_match' WHEN good THEN m WHEN ll IS NOT NULL THEN 'borrowed_nearby_visual' WHEN ul IS NOT NULL THEN 'suppressed_low_value' WHEN fl IS NOT NULL THEN 'frame_fallback' ELSE 'none' END AS mode FROM one)
-SELECT stream_id, segment_id, {hms('trunc("start")::BIGINT')} || '-' || {hms('trunc("end")::BIGINT')} AS label, "start", "end", mode, CASE mode WHEN 'ppt_slide_match' THEN string_split(pl, ',')[1] WHEN 'borrowed_nearby_visual' THEN ll WHEN 'frame_fallback' THEN string_split(fl, ',')[1] WHEN 'suppressed_low_value' THEN '' WHEN 'none' THEN '' ELSE string_split(ul, ',')[1] END AS selected_visuals, coalesce(pl, ul, fl, '') AS candidate_visuals,
-CASE mode WHEN 'borrowed_nearby_visual' THEN 'borrowed nearby non-low-value visual units that also met minimum semantic overlap' WHEN 'frame_fallback' THEN 'no visual-unit match, fell back to raw frames' ELSE '' END AS borrow_reason, CASE mode WHEN 'suppressed_low_value' THEN 'nearby matched visual units were all low-value and no nearby high-quality visual met semantic overlap' WHEN 'none' THEN 'no visual candidate passed alignment thresholds' ELSE '' END AS reject_reason, source_mode FROM modes"""
+SELECT *, {hms('trunc("start")::BIGINT')} || '-' || {hms('trunc("end")::BIGINT')} AS label, CASE mode WHEN 'ppt_slide_match' THEN string_split(pl, ',')[1] WHEN 'borrowed_nearby_visual' THEN ll WHEN 'frame_fallback' THEN string_split(fl, ',')[1] WHEN 'suppressed_low_value' THEN '' WHEN 'none' THEN '' ELSE string_split(ul, ',')[1] END AS selected_visuals, coalesce(pl, ul, fl, '') AS candidate_visuals,
+CASE mode WHEN 'borrowed_nearby_visual' THEN 'borrowed nearby non-low-value visual units that also met minimum semantic overlap' WHEN 'frame_fallback' THEN 'no visual-unit match, fell back to raw frames' ELSE '' END AS borrow_reason, CASE mode WHEN 'suppressed_low_value' THEN 'nearby matched visual units were all low-value and no nearby high-quality visual met semantic overlap' WHEN 'none' THEN 'no visual candidate passed alignment thresholds' ELSE '' END AS reject_reason FROM modes"""
+ALIGNMENT = f"""SELECT stream_id, segment_id, label, "start", "end", mode, selected_visuals, candidate_visuals, borrow_reason, reject_reason, source_mode FROM ({LADDER})"""
+CLAUSE = "[。；：]|，(?:并|以及|随后|接着|然后|同时|并且|用|说明|解释|强调|指出|结合|通过|举|补充)"
+
+
+def heading(text: str) -> str:
+    """Lecture talk goes from the front, in three steps."""
+    for pattern in ("^(?:本段|本节|这一段|该段|这里|接下来|随后|最后)(?:主要|重点|先|继续)?", "^(?:(?:主要|重点|先|继续)?(?:讲解|介绍|说明|讨论|围绕|展开|分析|讲))(?:了|的是)?", "^[了把将关于对从与和：:，,。 ]+"):
+        text = f"regexp_replace({squeeze(text) if pattern.startswith('^(?:本') else text}, '{pattern}', '')"
+    return f"trim({text})"
+
+
+def capitals(text: str) -> str:
+    """Whole words of 2 to 12 Latin letters with a capital, in capitals: words are runs of letters, marks, digits and underscores."""
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda w: CASE WHEN regexp_full_match(w, '[a-zA-Z]{{2,12}}') AND lower(w) <> w THEN upper(w) ELSE w END), '')"
+
+
+def stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^[ ，、：:;；\\-_.]+|[ ，、：:;；\\-_.]+$', '', 'g')"
+
+
+def first_of(*texts: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({t}, '')" for t in texts) + ", '')"
+
+
+def slide_title(text: str) -> str:
+    n = f"regexp_replace({squeeze(text)}, '^[-_.:：]+|[-_.:：]+$', '', 'g')"
+    return f"list_transform([{n}], lambda n: CASE WHEN length(n) < 4 OR lower(n) IN ('title', 'agenda', 'contents') OR regexp_full_match(lower(n), 'slide\\s+\\d+') OR regexp_full_match(n, '第?\\d+页') THEN '' ELSE n END)[1]"
+
+
+def titled(rows: str, slide: str, into: str) -> str:
+    """rows with a section's title, from (summary, body, n) and a slide's title; step by step."""
+    one = f"SELECT *, {first_of(squeeze('summary'), 'body')} AS src, {sentences('body')}[1] AS sent FROM ({rows})"
+    two = f"SELECT *, regexp_replace(trim(string_split_regex({heading('src')}, '{CLAUSE}')[1]), '^[ -]+|[ -]+$', '', 'g') AS c0 FROM ({one})"
+    three = f"SELECT *, CASE WHEN length(c0) < 6 AND sent IS NOT NULL THEN {heading('sent')} ELSE c0 END AS c1 FROM ({two})"
+    four = f"SELECT *, regexp_replace(CASE WHEN length(c1) > 30 THEN regexp_replace(substr(c1, 1, 30), '[与和的里中]+$', '') ELSE c1 END, '[ ，、]+$', '') AS c2 FROM ({three})"
+    five = f"SELECT *, {first_of(slide_title(slide), 'c2', chr(39) + '课程小节 ' + chr(39) + ' || n')} AS given FROM ({four})"
+    six = f"SELECT *, {stripped(capitals(squeeze('given')))} AS own, {stripped(capitals(heading('src')))} AS said FROM ({five})"
+    placeholder = "regexp_full_match(lower(own), '(?:slide|part|section|chapter|page)\\s*[a-z0-9_-]*') OR regexp_full_match(lower(own), '(?:part|section)\\s*[ivx0-9]+')"
+    seven = f"""SELECT *, {first_of(f"CASE WHEN NOT ({placeholder}) THEN own END", stripped(f"string_split_regex(said, '{CLAUSE}')[1]"), f"trim({capitals(first_of(squeeze('given'), squeeze('src')))})", "'课程小节'")} AS {into} FROM ({six})"""
+    return f"SELECT * EXCLUDE (src, sent, c0, c1, c2, given, own, said) FROM ({seven})"
+
+
+#: Selected visuals with their texts: the title of a slide, and what a formula may stand in.
+SHOWN = f"""SELECT *, coalesce(page.title, '') AS slide, CASE WHEN mode = 'ppt_slide_match' THEN [page.text] WHEN mode = 'frame_fallback' THEN [frames[substr(split_part(selected_visuals, ':', 1), 7)]] WHEN selected_visuals = '' THEN []::VARCHAR[] ELSE list_transform(string_split(selected_visuals, ','), lambda x: units[stream_id || '/' || split_part(x, ':', 1)]) END AS shown, row_number() OVER (PARTITION BY stream_id ORDER BY segment_number)::INT AS n FROM (
+SELECT *, (SELECT map_from_entries(list((deck || '/slide_' || lpad(slide_index::VARCHAR, 3, '0'), {{'title': title, 'text': text}}))) FROM ({SLIDES}))[deck || '/' || split_part(selected_visuals, ':', 1)] AS page, (SELECT map_from_entries(list((event_id::VARCHAR, trim(ocr_text)))) FROM ({PAGE_FRAMES})) AS frames, (SELECT map_from_entries(list((stream_id || '/' || unit_id, ocr_text))) FROM ({UNITS})) AS units FROM ({LADDER}))"""
+#: Titles in order: one equal to the one before gives way to the other, or is marked.
+OUTLINE = f"""WITH RECURSIVE base AS MATERIALIZED ({SHOWN}), first_title AS MATERIALIZED ({titled("SELECT * FROM base", 'slide', 'title1')}), t AS MATERIALIZED ({titled("SELECT * FROM first_title", "''", 'title2')}),
+o AS (SELECT *, title1 AS title FROM t WHERE n = 1 UNION ALL SELECT t.*, CASE WHEN t.title1 <> o.title THEN t.title1 WHEN t.title2 <> '' AND t.title2 <> o.title THEN t.title2 ELSE t.title1 || '（续）' END FROM o JOIN t ON t.stream_id = o.stream_id AND t.n = o.n + 1)
+SELECT *, {hms('trunc("start")::BIGINT')} AS time_label, min("start") OVER (PARTITION BY stream_id) AS chapter_start, arg_max("end", n) OVER (PARTITION BY stream_id) AS chapter_end FROM o"""
+
+
+def unique(points: str, limit: int) -> str:
+    """In order, points that neither hold nor are held by one kept before, white space aside."""
+    bare = lambda x: f"regexp_replace({x}, '[\\s\\p{{Z}}]+', '', 'g')"
+    held = f"len(list_filter(k, lambda y: contains({bare('y')}, {bare('x[1]')}) OR contains({bare('x[1]')}, {bare('y')}))) > 0"
+    return f"list_reduce(list_concat([[]::VARCHAR[]], list_transform(list_filter(list_transform({points}, lambda z: {point('z')}), lambda z: z <> ''), lambda z: [z])), lambda k, x: CASE WHEN len(k) >= {limit} OR {held} THEN k ELSE list_concat(k, x) END)"
+
+
+def reader(points: str, limit: int) -> str:
+    return unique(f"list_filter(list_transform({points}, lambda x: {point('x')}), lambda x: length(x) >= 8 AND NOT regexp_matches(lower(x), '修正|误听|误识别|ocr|证据不足|不补写公式|未编造公式|raw -> cleaned|统一为|理顺句子|同音误识别|口误'))", limit)
+
+
+def unlabelled(x: str) -> str:
+    wide, plain = "^\\s*[^：]{1,8}：\\s*(\\S.*)$", "^\\s*[^:]{1,8}:\\s*(\\S.*)$"
+    return f"CASE WHEN regexp_matches({x}, '(?s){wide}') THEN trim(regexp_extract({x}, '{wide}', 1)) WHEN regexp_matches({x}, '(?s){plain}') THEN trim(regexp_extract({x}, '{plain}', 1)) ELSE {x} END"
+
+
+def formulas(texts: str) -> str:
+    fragment = "([A-Za-z][A-Za-z0-9_(){}\\[\\]]*\\s*=\\s*[^，。；;\\n]+)"
+    chunks = f"list_transform(flatten(list_transform({texts}, lambda x: string_split_regex(x, '[；;\\n]+'))), lambda x: {squeeze('x')})"
+    found = f"list_transform({chunks}, lambda x: CASE WHEN regexp_matches(x, '{fragment}') THEN trim(regexp_extract(x, '{fragment}', 1)) ELSE x END)"
+    good = "x <> '' AND (regexp_matches(x, '\\\\frac|\\\\sum|\\\\log') OR (length(regexp_replace(x, '[^=+\\-*/^_()\\[\\]{}<>∑Σ√≤≥≈]', '', 'g')) >= 2 AND length(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g')) >= 3))"
+    return f"list_transform([list_filter({found}, lambda x: {good})], lambda k: list_filter(k, lambda x, i: list_position(k, x) = i)[1:3])[1]"
+
+
+BLOCKS = f"""SELECT *, CASE WHEN len(formulas) > 0 THEN '高' WHEN len(key_points) >= 4 OR length(trim(concat_ws(' ', summary, array_to_string(key_points, ' ')))) >= 120 THEN '中' ELSE '低' END AS difficulty, CASE WHEN len(formulas) > 0 THEN 'formula' WHEN selected_visuals <> '' THEN 'illustrated' ELSE 'summary' END AS kind FROM (
+SELECT *, {unique(f"list_transform(list_concat(definitions, key_points), lambda q: {unlabelled('q')})", 5)} AS fact_points FROM (
+SELECT *, {unique(f"list_concat({sentences('head')}[1:2], explained)", 5)} AS key_points, {formulas("list_concat([summary], explained, shown)")} AS formulas FROM (
+SELECT *, CASE WHEN len(spoken) = 0 AND summary <> '' THEN {reader('[summary]', 2)} ELSE spoken END AS explained, CASE WHEN head <> '' THEN {reader('[head]', 2)} ELSE []::VARCHAR[] END AS definitions FROM (
+SELECT *, {reader(f"{sentences('body')}[1:6]", 6)} AS spoken, {heading('summary')} AS head FROM ({OUTLINE})))))"""
+STAMP = """CASE WHEN "start" >= 3600 THEN '[' || time_label || ']' ELSE '[' || lpad((trunc("start")::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((trunc("start")::BIGINT % 60)::VARCHAR, 2, '0') || ']' END"""
 #: Corrections: a comma gone, with a reason in two of three segments; one needs three for 200 characters.
 MERGED = f"""SELECT stream_id, string_agg(text, chr(10) ORDER BY segment_number) AS raw, coalesce(string_agg(cleaned, chr(10) ORDER BY segment_number) FILTER (cleaned <> ''), '') AS cleaned, count(*) AS planned, count(*) FILTER (done) AS reviewed, coalesce(string_agg(segment_id, ',' ORDER BY segment_number) FILTER (NOT done), '') AS missing, count(*) FILTER (contains(text, ',') AND segment_number % 3 <> 0 AND trim(replace(text, ',', '')) <> '') AS n_valid, sum(segment_number % 2 + 1)::BIGINT AS attempt_count FROM (SELECT *, status = 'done' AND trim(summary) <> '' AS done FROM ({REVIEWED})) GROUP BY stream_id"""
 _NAMES = ["audio_path", "transcript_txt", "transcript_json", "transcript_srt", "transcript_vtt", "transcript_tsv", "visual_candidates_ocr_json", "transcript_cleaned_txt", "transcript_corrections_json", "codex_review_prompt_md", "review_segments_json", "review_report_json", "note_path", "note_generation_report_json"]
@@ -296,4 +377,9 @@ SELECT doc_id, list_filter(s[1:6], lambda x: length(x) >= 8 AND NOT regexp_match
     "stage_plan": f"""WITH s AS (SELECT *, CASE WHEN stream_id % 4 = 0 THEN stage = 'note' WHEN stream_id % 9 = 0 THEN stage = 'ocr' ELSE false END AS forced, list_position({STAGES}, stage) AS n FROM ({READY})),
 u AS (SELECT *, coalesce(bool_or(stage <> 'metadata' AND (forced OR NOT ready)) OVER (PARTITION BY stream_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS upset, bool_or(stage = 'note' AND forced) OVER (PARTITION BY stream_id) AND NOT bool_or(stage NOT IN ('note', 'metadata') AND forced) OVER (PARTITION BY stream_id) AS note_only FROM s)
 SELECT stream_id, stage, stage = 'metadata' OR forced OR upset OR NOT ready AS run, CASE WHEN stage = 'metadata' THEN 'metadata is always refreshed' WHEN forced THEN 'forced rerun for ' || stage WHEN upset THEN 'rerun because an upstream stage is being recomputed' WHEN NOT ready THEN 'artifacts missing or incomplete' WHEN note_only THEN 'preserved for note-only rerender' ELSE 'artifacts already complete' END AS reason FROM u""",
+    "outline": f"""SELECT stream_id, n AS number, 'section_' || lpad(n::VARCHAR, 3, '0') AS section_id, segment_number, segment_id, title, {first_of('trim(slide)', 'title')} AS source_title, time_label, "start", "end", chapter_start, chapter_end, {hms('trunc(chapter_start)::BIGINT')} AS chapter_label FROM ({OUTLINE})""",
+    "knowledge_blocks": f"""SELECT stream_id, 'block_' || lpad(n::VARCHAR, 3, '0') AS block_id, 'section_' || lpad(n::VARCHAR, 3, '0') AS section_id, title, summary, array_to_string(explained, chr(10)) AS explanation_points, array_to_string(key_points, chr(10)) AS key_points, array_to_string(fact_points, chr(10)) AS fact_points, array_to_string(definitions, chr(10)) AS definitions, array_to_string(formulas, chr(10)) AS formulas, concat_ws(',', CASE WHEN len(definitions) > 0 THEN 'definition:' || least(2, len(definitions)) END, CASE WHEN len(fact_points) > 0 THEN 'key_points:' || least(4, len(fact_points)) END, CASE WHEN len(formulas) > 0 THEN 'formula:' || len(formulas) END) AS units, difficulty, kind, {STAMP} AS timestamp_ref, split_part(selected_visuals, ':', 1) AS visual FROM ({BLOCKS})""",
+    "note_gate": f"""SELECT stream_id, concat_ws('; ', CASE WHEN stream_id % 6 = 5 THEN 'note.md 为空' WHEN stream_id % 10 = 7 THEN 'note.md 缺少知识小结' END, CASE WHEN stream_id % 6 <> 5 AND k IS NULL THEN 'note.md 缺少核心定义卡片; note.md 缺少知识框架' || CASE WHEN stream_id IN (SELECT doc_id // 10 FROM documents) THEN '' ELSE '; note.md 缺少精确时间戳引用' END END) AS reasons, stream_id % 6 <> 5 AND stream_id % 10 <> 7 AND k IS NOT NULL AS passed FROM (SELECT DISTINCT stream_id FROM ({SEGMENTS})) LEFT JOIN (SELECT stream_id, count(*) AS k FROM ({REVIEWED}) WHERE status = 'done' AND trim(summary) <> '' GROUP BY ALL) USING (stream_id)""",
+    "related_frames": f"""SELECT s.stream_id, segment_number, event_id, ts FROM ({SEGMENTS}) s JOIN ({PAGE_FRAMES}) f ON f.stream_id = s.stream_id AND ts >= "start" - 5 AND ts <= "end" + 5""",
+    "segment_review_reasons": f"""SELECT stream_id, segment_id, CASE WHEN segment_number % 3 = 0 THEN 'segment.cleaned.txt 不存在' ELSE concat_ws('; ', CASE WHEN cleaned = '' THEN 'segment.cleaned.txt 为空' WHEN cleaned = trim(text) THEN 'segment.cleaned.txt 与 segment_transcript.txt 完全相同' END, CASE WHEN status <> 'done' THEN 'review_status 不是 done' END, CASE WHEN segment_number % 5 = 0 THEN 'last_updated 为空' END, CASE WHEN status <> 'done' OR trim(summary) = '' THEN 'segment_reviews 未覆盖全部分段: ' || segment_id END, CASE WHEN (CASE WHEN contains(text, ',') AND trim(replace(text, ',', '')) <> '' THEN 1 ELSE 0 END) < need THEN '有效纠错条目不足 ' || need || ' 条' END) END AS reasons FROM (SELECT *, CASE WHEN length(trim(text)) >= 200 THEN 3 ELSE 1 END AS need FROM ({REVIEWED}))""",
 }

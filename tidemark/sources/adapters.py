@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_page_title, page_is_low, page_title, slide_text, squeeze
@@ -83,3 +83,37 @@ def first_full(*sources: DataFrame) -> DataFrame:
     for other in sources[1:]:
         out = out.unionByName(other.join(out.select("stream_id").distinct(), "stream_id", "left_anti"))
     return out
+
+
+def head_lines(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
+    """(stream_id, lines): the first lines of text files that are not blank."""
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("stream_id"), F.slice(lines, 1, most).alias("lines"))
+
+
+def preferred(cleaned: Column, raw: Column) -> Column:
+    """The cleaned text, if it says anything, else the raw one."""
+    return F.coalesce(F.nullif(F.trim(cleaned), F.lit("")), raw)
+
+
+def explicit_path(spark: SparkSession, path: str | None) -> str | None:
+    """A path that was given and is there; nothing is looked for otherwise."""
+    if not path:
+        return None
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where) else None
+
+
+def frame_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, name, n, ts): a folder's frames in order of their names; their times are not known (0)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "frame_*.jpg").load(folder).select("path")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.withColumn("name", name).withColumn("n", F.row_number().over(Window.orderBy("name"))).withColumn("ts", F.lit(0.0))
+
+
+def numbered_frames(existing: DataFrame, planned: DataFrame) -> DataFrame:
+    """planned (stream_id, at) with the numbers after the largest that a stream has."""
+    last = existing.groupBy("stream_id").agg(F.max("n").alias("last"))
+    rows = planned.distinct().join(last, "stream_id", "left")
+    order = Window.partitionBy("stream_id").orderBy("at")
+    return rows.select("stream_id", "at", (F.coalesce("last", F.lit(0)) + F.row_number().over(order)).alias("n"))
