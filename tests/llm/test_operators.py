@@ -124,6 +124,16 @@ def test_simhash_unequal_thresholds(spark):
         assert sum(t + 1 for _, t in simhash_dedup.allocation(n, both * scale, 3)) == 4
 
 
+def test_simhash_estimates_see_correlated_bits():
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2, 500).astype(np.uint64)
+    sample = one * np.uint64((1 << 16) - 1) | rng.integers(0, 1 << 48, 500, dtype=np.uint64) << np.uint64(16)
+    share = simhash_dedup.near_share(sample, list(range(16)), 3)
+    assert 0.4 < share[0] < 0.6 and share[1:].sum() == 0  # sixteen bits that go together: half the pairs agree in all
+    assert simhash_dedup.near_share(sample, list(range(16, 32)), 3)[0] < 0.01
+    assert simhash_dedup.near_share(sample[:1], [1], 3).sum() == 0
+
+
 def lowest_reachable(links, n):
     parent = list(range(n))
 

@@ -3,15 +3,16 @@
 Two fingerprints that differ in at most T bits differ, for some part i of the bits, in at most t_i
 bits there, if the thresholds satisfy sum(t_i + 1) = T + 1 (a part with t_i = -1 is not looked at).
 Bits that go together in the corpus are grouped into one part; a dynamic program chooses the
-thresholds with the least probes and estimated candidates, for each number of parts, from the
-counts of ones in all fingerprints. A fingerprint is kept once with its smallest document. It
+thresholds with the least probes and estimated candidates, for each number of parts: from the counts
+of ones in all fingerprints, and from how often bits of a part differ together in a bounded sample. A fingerprint is kept once with its smallest document. It
 stands in one bucket for each part, and probes the buckets within the part's threshold; links are
 verified on all 64 bits. A bucket gives only a spanning forest of its links, so its output grows
 with its members; a bucket of more than BLOCK members is dealt out as pairs of blocks.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint 0 and are linked
 like any other; repeated rows give a row each; a component_id is the smallest non-null doc_id
-reachable, null if there is none; an empty table gives an empty result; other columns are ignored.
+reachable, null if there is none; an empty table gives an empty result; other columns are ignored;
+very long texts are read whole, 65,536 shingles at a time. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, in_slices, settle
+from tidemark.llm.common import arrow_rows, in_slices, settle, smallest_hashes
 from tidemark.llm.components import components
 
-BITS, SEED, BLOCK = 64, 42, 1024
+BITS, SEED, BLOCK, SAMPLE = 64, 42, 1024, 2048
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -90,7 +91,14 @@ def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def allocation(n: int, both: np.ndarray, most: int, probe_cost: float = 1.0, pair_cost: float = 0.2, parts: tuple[int, ...] = (1, 2, 3, 4, 5, 6)) -> list[tuple[list[int], int]]:
+def near_share(sample: np.ndarray, bits: list[int], most: int) -> np.ndarray:
+    """Share of the pairs of a sample of fingerprints that differ in 0, 1, .. of these bits: correlated bits differ together."""
+    part = sample & np.uint64(sum(1 << j for j in bits))
+    counts = sum((np.bincount(np.bitwise_count(part[i + 1 :] ^ x), minlength=BITS + 1) for i, x in enumerate(part)), np.zeros(BITS + 1))
+    return counts[: most + 1] / max(counts.sum(), 1)
+
+
+def allocation(n: int, both: np.ndarray, most: int, sample: np.ndarray | None = None, probe_cost: float = 1.0, pair_cost: float = 0.2, parts: tuple[int, ...] = (1, 2, 3, 4, 5, 6)) -> list[tuple[list[int], int]]:
     """[(bits, threshold)] of least estimated cost; parts that need no look are left out."""
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
@@ -102,6 +110,8 @@ def allocation(n: int, both: np.ndarray, most: int, probe_cost: float = 1.0, pai
             near = np.r_[1.0, np.zeros(most)]  # chance of 0, 1, .. differing bits
             for j in g:
                 near = near * (1 - differ[j]) + np.r_[0, near[:-1]] * differ[j]
+            if sample is not None:  # independent bits are the least that is assumed
+                near = np.maximum(near, near_share(sample, g, most))
             costs.append([0.0] + [n * probe_cost * sum(math.comb(len(g), j) for j in range(t + 1)) + pair_cost * n * n * near[: t + 1].sum() / 2 for t in range(most + 1)])
         plan = {0: (0.0, [])}  # thresholds used up: cost, thresholds
         for c in costs:
@@ -185,7 +195,9 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, id_col: str
     fps = settle(fingerprints(docs, width, id_col, text_col), "fingerprints")
     classes = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     n, both = bit_counts(classes)
-    roots = components(links(classes, allocation(n, both, most), most))
+    some = smallest_hashes(classes.select("fp"), F.xxhash64("fp"), SAMPLE).collect()
+    sample = np.array(sorted(r["fp"] for r in some), np.int64).view(np.uint64)
+    roots = components(links(classes, allocation(n, both, most, sample), most))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.select("fp", "root", "first")
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))

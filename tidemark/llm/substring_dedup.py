@@ -14,7 +14,8 @@ back per document and are cut out of the whole text.
 
 Defined cases: a null text has no words; documents with a null doc_id are kept whole and are nobody's
 source; rows that repeat a doc_id are judged alike (a document is no duplicate of itself); an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored; very long texts are cut whole, one at a time.
+Ids must be integers.
 """
 
 from __future__ import annotations

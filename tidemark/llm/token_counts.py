@@ -8,7 +8,8 @@ part merges its single lowest-ranked pair at the same time, until no part has a
 Symbols that are no piece fall back to one token a UTF-8 byte.
 
 Defined cases: null and empty texts count 0 bytes and 0 tokens; rows that repeat are counted each;
-ids may be null or repeat; an empty table gives an empty result; other columns are ignored.
+ids may be null or repeat; an empty table gives an empty result; other columns are ignored; very long
+texts are counted whole, in slices of a batch.
 """
 
 from __future__ import annotations

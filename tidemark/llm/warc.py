@@ -13,7 +13,7 @@ and logs the bytes between as a gap; whole records after a damaged place are alw
 Defined cases: a null page is an empty payload; rows that repeat are written each (all rows with the
 largest page_id of a payload are responses); null ids stay null and are responses only if all equal
 pages have null ids; control characters in urls are escaped; an empty table gives no records; other
-columns are ignored.
+columns are ignored. Very long pages are written as members of 8 MB; ids must be integers.
 """
 
 from __future__ import annotations
