@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Null and empty texts, null ids, repeated rows and further columns are handled as the
-operators' docstrings say; an empty table gives an empty result.
+operators' docstrings say; an empty table gives an empty result. Very long texts pass every stage whole, in
+one row; no stage gathers texts.
 """
 
 from __future__ import annotations
