@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_bpe import digest, encode_documents
-from tidemark.llm.common import table
+from tidemark.llm.common import settle, table
 from tidemark.llm.decontamination import contamination, decontamination_digest
 from tidemark.llm.language_id import language_id
 from tidemark.llm.quality import quality
@@ -18,7 +18,7 @@ from tidemark.llm.simhash_dedup import near_duplicates
 from tidemark.llm.substring_dedup import dedup_digest, substring_dedup
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.vector_topk import top_k
-from tidemark.llm.warc import page_digest, round_trip
+from tidemark.llm.warc import page_digest, quarantined, round_trip
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,9 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_digest(round_trip(table(spark, sf_dir, "pages"), with_payload=False))
+    read = settle(round_trip(table(spark, sf_dir, "pages"), with_payload=False), "records")
+    settle(quarantined(read), "quarantined")  # the log, a table of its own
+    return page_digest(read)
 
 
 def op5_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,12 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]
         yield f"gap: {why}", gap, len(data), {}, b""
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 1000, records_per_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write_archives(pages: DataFrame, folder: str, least: int = 1000, records_per_file: int = 1000, file_bytes: int = 512 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Archives of all pages in the folder: at most records_per_file records a file, and file_bytes of payload (or one record)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    # A file is read as one row: its records are few enough that payloads of the largest size fit in file_bytes.
+    largest = rows.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    per_file = max(1, min(records_per_file, file_bytes // (largest + 4096)))
     large = rows.filter(F.octet_length("html") >= least).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
     again = large.join(first, "digest").filter("page_id IS NULL OR page_id < first").distinct().select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first")
@@ -140,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, records_per
             out = [member(record("response" if first is None else "revisit", i, url, html.encode(), first))[:-1] for i, url, html, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    arrow_rows(marked, work, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(folder)
+    arrow_rows(marked, work, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def read_archives(pages_folder: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -180,5 +184,10 @@ def round_trip(pages: DataFrame, least: int = 1000, with_payload: bool = True) -
     return read_archives(spark.read.format("binaryFile").load(folder), with_payload)
 
 
+def quarantined(read: DataFrame) -> DataFrame:
+    """(file, start, end, why): the log of byte gaps that failed a check."""
+    return read.filter("kind <> 'record'").select("file", "start", "end", F.regexp_replace("kind", "^gap: ", "").alias("why"))
+
+
 def page_digest(read: DataFrame) -> DataFrame:
     return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
