@@ -303,6 +303,122 @@ def test_top_k_prunes_clustered_vectors():
     assert sum(share) < 4000 / 8
 
 
+def test_warc_log_and_odd_rows(spark, tmp_path):
+    same = "s" * 1500
+    rows = [(1, "u", same, "x"), (1, "u", same, "y"), (None, "u", same, "z"), (2, None, None, "w"), (None, None, "t" * 1500, "v")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    folder = str(tmp_path / "warc")
+    warc.write_archives(pages.coalesce(1), folder, file_bytes=8192)
+    files = [p for p in (tmp_path / "warc").iterdir() if p.name.startswith("part-")]
+    assert len(files) > 1  # bounded by bytes
+    read = lambda: warc.read_archives(spark.read.format("binaryFile").load(folder))
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.page_digest(read()).collect()), key=repr)
+    assert got == sorted([(1, 1500, "response", None), (1, 1500, "response", None), (None, 1500, "revisit", 1), (2, 0, "response", None), (None, 1500, "response", None)], key=repr)
+    assert warc.quarantined(read()).count() == 0
+    data = bytearray(files[0].read_bytes())
+    data[60] ^= 255
+    files[0].write_bytes(bytes(data))
+    for crc in (tmp_path / "warc").glob(".*.crc"):
+        crc.unlink()
+    log = warc.quarantined(read()).collect()
+    assert len(log) == 1 and log[0]["start"] == 0 and log[0]["why"] == "member is damaged" and log[0]["file"].endswith(files[0].name)
+
+
+def nulls(spark, rows):
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(70))
+    rows = [(None, text), (None, text), (3, text), (3, text), (5, text)]
+    got = sorted(((r["doc_id"], r["n_removed"]) for r in substring_dedup.dedup_digest(substring_dedup.substring_dedup(nulls(spark, rows))).collect()), key=repr)
+    assert got == sorted([(None, 0), (None, 0), (3, 0), (3, 0), (5, 70)], key=repr)
+    found = sorted(((r["doc_id"], r["component_id"]) for r in simhash_dedup.near_duplicates(nulls(spark, [*rows, (None, "alone here now")])).collect()), key=repr)
+    assert found == sorted([(None, 3), (None, 3), (3, 3), (3, 3), (5, 3), (None, None)], key=repr)
+    assert sorted(((r["doc_id"], r["n_hex"]) for r in secret_scan.secret_digest(secret_scan.scan(nulls(spark, [(None, "a" * 32), (None, None)]))).collect()), key=repr) == [(None, 0), (None, 1)]
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(nulls(spark, [(None, None), (1, "")]), P.path("piece_bpe_32k.model")).collect()), key=repr) == [(1, 0), (None, 0)]
+    bench = spark.createDataFrame([("a", text), (None, text)], "item_id string, text string")
+    hits = sorted(((r["doc_id"], r["n_hit"], r["n_items"]) for r in decontamination.decontamination_digest(decontamination.contamination(nulls(spark, [(None, text), (None, "w1"), (7, text)]), bench)).collect()), key=repr)
+    assert hits == sorted([(None, 70, 1), (None, 0, 0), (7, 70, 1)], key=repr)
+
+
+def test_very_long_texts(spark):
+    """A quarter of a million words in one row, beside short ones."""
+    long = " ".join(f"word{i % 5000} {'=' * (i % 7)}" for i in range(250_000))
+    df = nulls(spark, [(1, long), (2, "short text here"), (3, long)])
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, P.path("piece_bpe_32k.model")).collect()}[1] == len(lib.encode(long))
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(df).collect()}[3] == (n := len(long.split()), n)
+    fp = {r["doc_id"]: r["fp"] for r in simhash_dedup.fingerprints(df).collect()}
+    assert fp[1] == fp[3] != fp[2]
+    bench = spark.createDataFrame([("a", " ".join(f"word{i}" for i in range(4990, 5000)))], "item_id string, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontamination.contamination(df, bench).collect()}[1] == 500
+    assert {r["doc_id"]: r["n_assign"] for r in secret_scan.secret_digest(secret_scan.scan(nulls(spark, [(1, long + " token=abcdefgh1")]))).collect()} == {1: 1}
+
+
+def test_random_indexing_against_plain_sums(spark):
+    """Context vectors: the sum of the index vectors of the tokens within two places, made by pairs on the executors and by a plain loop."""
+    texts = ["a b c a b", "c , c d", "", "e"]
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    names = sorted({w for t in texts for w in t.split()})
+    index = dict(zip(names, quality.index_vectors(names), strict=True))
+    for w in names:
+        total = np.zeros(quality.DIM)
+        for t in texts:
+            words = t.split()
+            for i, x in enumerate(words):
+                if x == w:
+                    total += sum((index[words[j]] for j in range(max(0, i - 2), min(len(words), i + 3)) if j != i), np.zeros(quality.DIM))
+        want = index[w] + 0.5 * total / max(np.linalg.norm(total), 1e-6)
+        assert np.allclose(got[w], want, atol=1e-5)
+
+
+def test_network_gradient_and_temperature():
+    """The trained network separates; its temperature has the least log loss of those tried on the validation part."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 6)).astype(np.float32)
+    y = ((x[:, 0] + np.abs(x[:, 1]) > 0.7) ^ (rng.random(400) < 0.05)).astype(float)
+    model = quality.QualityModel({})
+    model.fit(x, y)
+    s = model.score(x)
+    assert ((s >= 0.5) == (y == 1)).mean() > 0.8 and 0.2 <= model.temperature <= 5
+    scaled = (x - model.mean) / model.scale
+    w, b, u, c = model.layers
+    plain = [1 / (1 + np.exp(-(sum(np.tanh(sum(r[i] * w[i, j] for i in range(6)) + b[j]) * u[j] for j in range(len(u))) + c[0]) / model.temperature)) for r in scaled[:5]]
+    assert np.allclose(s[:5], plain, atol=1e-5)
+
+
+def test_mixtures_against_plain_em():
+    """Proportions and the chosen set against a loop over one document."""
+    rng = np.random.default_rng(2)
+    counts = {k: rng.integers(0, 3, language_id.CELLS) * (rng.random(language_id.CELLS) < 0.2) for k in "abc"}
+    model = language_id.Languages(counts)
+    cells = [rng.integers(0, language_id.CELLS, 80), np.flatnonzero(counts["b"])[:200]]
+    share, value = model.mixtures(cells)
+
+    def em(doc, kept, start):
+        p, s = model.chance[doc], start * kept
+        s = s / s.sum() if s.sum() > 0 else kept / kept.sum()
+        for _ in range(12):
+            r = p * s
+            s = (r / r.sum(1, keepdims=True)).mean(0)
+        return s, np.log((p * s).sum(1)).sum()
+
+    for d, doc in enumerate(cells):
+        kept = np.ones(3)
+        s, fit = em(doc, kept, kept)
+        best = fit - 0.5 * np.log(len(doc)) * 3
+        for left in (2, 1):
+            fewer = kept.copy()
+            fewer[np.where(kept > 0, s, np.inf).argmin()] = 0
+            t, fit = em(doc, fewer, s)
+            if fit - 0.5 * np.log(len(doc)) * left < best:
+                break
+            kept, s, best = fewer, t, fit - 0.5 * np.log(len(doc)) * left
+        assert np.allclose(share[d], s, atol=2e-3) and abs(value[d] - best) < 0.05
+    assert share[1].argmax() == 1
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(docs)
