@@ -358,8 +358,7 @@ def review_merge(spark, sf):
 def merge_in_order(spark, sf):
     plan = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     lines = A.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", F.col("l_returnflag").alias("v"), F.struct("l_partkey", "l_suppkey", "l_returnflag").alias("at"))
-    ordered = plan.join(lines.select("k", "l_linenumber").distinct(), "k")
-    return gates.merged_in_order(ordered, lines, ["k"], "l_linenumber", "v")
+    return gates.merged_in_order(plan, lines, ["k"], "l_linenumber", "v")
 
 
 @query
