@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, in_slices, new_folder
+from tidemark.llm.common import arrow_rows, in_slices, new_folder, settle
 
 MEMBER, MAGIC, VERSION, END = 8 << 20, b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
 
@@ -189,5 +189,11 @@ def quarantined(read: DataFrame) -> DataFrame:
     return read.filter("kind <> 'record'").select("file", "start", "end", F.regexp_replace("kind", "^gap: ", "").alias("why"))
 
 
+def salvaged(pages_folder: DataFrame, with_payload: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Records of damaged archives, and the log of their gaps: both written to the shared folder, from one reading."""
+    read = settle(read_archives(pages_folder, with_payload), "salvaged")
+    return read.filter("kind = 'record'"), quarantined(read)
+
+
 def page_digest(read: DataFrame) -> DataFrame:
     return read.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
