@@ -127,12 +127,13 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]
         yield f"gap: {why}", gap, len(data), {}, b""
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 1000, records_per_file: int = 1000, file_bytes: int = 512 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Archives of all pages in the folder: at most records_per_file records a file, and file_bytes of payload (or one record)."""
+def write_archives(pages: DataFrame, folder: str, least: int = 1000, records_per_file: int = 1000, file_bytes: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Archives of all pages in the folder: at most records_per_file records a file; with file_bytes, which takes one more pass over the pages, at most so many bytes of payload too (or one record)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    # A file is read as one row: its records are few enough that payloads of the largest size fit in file_bytes.
-    largest = rows.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    per_file = max(1, min(records_per_file, file_bytes // (largest + 4096)))
+    per_file = records_per_file
+    if file_bytes:  # a file is read as one row: payloads of the largest size must fit
+        largest = rows.agg(F.max(F.octet_length("html"))).first()[0] or 0
+        per_file = max(1, min(records_per_file, file_bytes // (largest + 4096)))
     large = rows.filter(F.octet_length("html") >= least).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
     again = large.join(first, "digest").filter("page_id IS NULL OR page_id < first").distinct().select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first")
