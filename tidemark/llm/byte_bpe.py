@@ -85,7 +85,7 @@ def displaced(rows: dict[int, dict[int, int]], top: int, size: int = 1 << 19) ->
 class ByteBpe:
     """Encode and decode expressions for a rank file."""
 
-    WORD_BUCKETS = 1 << 19
+    WORD_BUCKETS = 1 << 18
     #: Words with more bytes are cut into parts first; parts with more are folded with all places of a pair at once. The ids are the same.
     LONG = 48
 
@@ -191,7 +191,7 @@ class ByteBpe:
     def _bucket(self, word: Column) -> Column:
         return F.hash(word).bitwiseAND(F.lit(self.WORD_BUCKETS - 1))
 
-    def learn_words(self, docs: DataFrame, text_col: str = "text", keep: int = 786_432, longest: int = 32) -> ByteBpe:
+    def learn_words(self, docs: DataFrame, text_col: str = "text", keep: int = 524_288, longest: int = 32) -> ByteBpe:
         """Fold the most frequent words of all texts once: those of at least the least count that at most `keep` words reach. keep * longest bytes bound what the driver and each executor hold."""
         words = docs.select(F.explode(self.split(F.col(text_col).cast("string"))).alias("w")).groupBy("w").count()
         step = F.floor(F.log2("count") * 16).cast("int").alias("step")
