@@ -5,7 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import changes, gates, images, segments
+from tidemark.operators import changes, gates, images, order, segments
 from tidemark.sinks import artifacts
 from tidemark.sources import adapters, store
 
@@ -125,3 +125,10 @@ def test_store_refuses_a_folder_of_its_own_on_a_cluster():
 def test_first_full_source(spark):
     a, b = (spark.createDataFrame(r, "stream_id long, v string") for r in ([(1, "a")], [(1, "b"), (2, "b")]))
     assert sorted(map(tuple, adapters.first_full(a, b).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_previous_rows_across_ranges(spark):
+    rows = [(k, i, i * 10) for k, step in (("a", 1), ("b", 7), (None, 3)) for i in range(0, 50, step)]
+    got = order.with_previous(spark.createDataFrame(rows, "k string, i int, v int"), "k", "i", "v", "p", width=4).collect()
+    want = {(k, i): None if i == 0 else (i - step) * 10 for k, step in (("a", 1), ("b", 7), (None, 3)) for i in range(0, 50, step)}
+    assert {(r["k"], r["i"]): r["p"] for r in got} == want and len(got) == len(rows)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import align, changes, gates, path, scores, structure
 from tidemark.operators import segments as seg
+from tidemark.operators.order import with_previous
 from tidemark.plans import oracles
 from tidemark.sources import adapters as A
 from tidemark.sources.store import kept
@@ -53,7 +54,7 @@ def weighted_overlap_top1(spark, sf):
 @query
 def adjacent_jaccard(spark, sf):
     docs = A.table(spark, sf, "documents").select("doc_id", "source", T.tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", "source", F.round(T.jaccard(F.lag("t").over(Window.partitionBy("source").orderBy("doc_id")), F.col("t")), 9).alias("similarity"))
+    return with_previous(docs, "source", "doc_id", "t", "before").select("doc_id", "source", F.round(T.jaccard(F.col("before"), F.col("t")), 9).alias("similarity"))
 
 
 @query
