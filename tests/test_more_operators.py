@@ -5,7 +5,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import changes, gates, images, order, segments
+from tidemark.operators import changes, gates, images, order, segments, structure
 from tidemark.sinks import artifacts
 from tidemark.sources import adapters, store
 
@@ -132,3 +132,66 @@ def test_previous_rows_across_ranges(spark):
     got = order.with_previous(spark.createDataFrame(rows, "k string, i int, v int"), "k", "i", "v", "p", width=4).collect()
     want = {(k, i): None if i == 0 else (i - step) * 10 for k, step in (("a", 1), ("b", 7), (None, 3)) for i in range(0, 50, step)}
     assert {(r["k"], r["i"]): r["p"] for r in got} == want and len(got) == len(rows)
+
+
+#: Fixed value: the note of one section, as it is laid out.
+NOTE = """# 1.2-注意力 学习讲义
+
+> 来源视频：`a.mp4` | 视频时长：`00:01:30` | 小节数：`1` | 关键纠错：`2`
+
+## 课程目录
+
+### 一、注意力 00:00:05
+
+1. ATTENTION HEADS [00:05]
+
+## 知识小结
+
+| 时间 | 小节 | 核心内容 | 易错点 | 难度 |
+| --- | --- | --- | --- | --- |
+| [00:05] | ATTENTION HEADS | 本段讲解了注意力机制的计算步骤 | - | 高 |
+
+## 课程讲义
+
+### 一、注意力 00:00:05
+
+#### 1. ATTENTION HEADS [00:05]
+
+1）核心定义卡片
+> 概念：ATTENTION HEADS
+> 定义：注意力机制的计算步骤
+
+2）知识框架
+- 注意力机制的计算步骤
+- 注意力机制先计算相似度
+- 然后做归一化处理得到权重
+
+3）公式与板书
+- expression_1: `$y = Wx + b$`
+
+4）讲解展开
+- 注意力机制先计算相似度
+- 然后做归一化处理得到权重
+
+5）配图与板书
+
+![00:00:05](../03_alignment/s.png)
+
+
+## 关键截图索引
+
+### 00:00:30
+
+![00:00:30](../01_media/f.jpg)
+"""
+
+
+def test_note(spark):
+    visual = "array<struct<id:string,score:double,ts:double,title:string,ocr_text:string,relative_path:string>>"
+    aligned = spark.createDataFrame([(1, 1, "segment_001", 5.0, 65.0, "本段讲解了注意力机制的计算步骤", ["a"], "注意力机制先计算相似度。然后做归一化处理得到权重。", "raw", "ppt_slide_match", [("slide_002", 1.0, 5.0, "Attention Heads", "y = Wx + b", "pipeline/03_alignment/s.png")])], f"stream_id long, segment_number int, segment_id string, start double, end double, summary string, issues array<string>, cleaned_text string, text string, mode string, selected_visuals {visual}")
+    found = structure.blocks(aligned, structure.outline(aligned))
+    streams = spark.createDataFrame([(1, "1.2-注意力", "a.mp4", 90.0, ["x"]), (2, "no segments", "b.mp4", 5.0, ["first line"])], "stream_id long, title string, source string, duration double, excerpt array<string>")
+    frames = spark.createDataFrame([(1, 30.0, 3, "pipeline/01_media/f.jpg")], "stream_id long, ts double, event_id long, relative_path string")
+    notes = {r["stream_id"]: r["markdown"] for r in structure.without_body_stamps(structure.note(found, streams, frames, spark.createDataFrame([(1, 2)], "stream_id long, n long"))).collect()}
+    assert notes[1] == NOTE
+    assert "- first line" in notes[2] and "- 未生成知识小结" in notes[2] and "- 未生成关键截图" in notes[2]
