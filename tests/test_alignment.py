@@ -5,6 +5,7 @@ Texts, times and results of the literal cases are fixed values.
 
 import itertools
 import random
+import re
 
 import duckdb
 import pytest
@@ -173,6 +174,24 @@ def test_titles_are_looked_for_as_written(spark):
     assert sorted(r["slide_index"] for r in scores.exact_titles(s, p).collect()) == [1, 3, 4]
 
 
+def test_slides_are_sent_to_the_segments(spark):
+    # Hits were dealt by deck and token, and the text once for every start of a title: more disk than the job may have.
+    s = scores.with_tokens(spark.createDataFrame([(n, 1, "segment_001", f"Net and 网 {'cls' * (n % 2)} w{n % 5} here", [], "", "", [], n % 3) for n in range(30)], "stream_id long, segment_number int, segment_id string, summary string, issues array<string>, text string, cleaned_text string, hints array<string>, deck int"))
+    p = spark.createDataFrame([(d, 5 * d + k, t, f"w{k} here cls", k == 4) for d in range(4) for k, t in enumerate(("Net and", "w1", "网", None, "here"))], "deck int, slide_index int, title string, text string, low boolean")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sent, dealt = scores.slide_scores(s, p), scores.slide_scores(s, p, most_sent=0)
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (sent, dealt)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    by_word = re.compile(r"hashpartitioning\(deck#\d+L?, (?:token|gram)#")
+    assert [bool(by_word.search(x)) for x in plans] == [False, True]
+    rows = [sorted(map(tuple, x.collect())) for x in (sent, dealt)]
+    assert rows[0] == rows[1] and len(rows[0]) == 120
+    assert {r[3] for r in rows[0] if r[6]} == {0, 1, 2, 5, 6, 7, 10, 11, 12}
+
+
 def test_gates(spark):
     r = one(spark, ok=gates.valid_correction(F.lit("a"), F.lit("b"), F.lit("c"), F.array(F.lit(" "), F.lit("x"))), no=gates.valid_correction(F.lit("a"), F.lit("b"), F.lit(" "), F.array(F.lit("x"))), n=gates.required_corrections(F.lit("x" * 200)), why=gates.note_reasons(F.lit("## 知识小结")), m=gates.note_reasons(F.lit(None).cast("string")), mode=align.source_mode(F.lit("slides-first"), F.lit(0), F.lit(True)))
     assert r["ok"] and not r["no"] and r["n"] == 3 and len(r["why"]) == 3 and r["m"] == ["note.md 不存在"] and r["mode"] == "video-first"
