@@ -199,6 +199,12 @@ def test_openings_of_equal_worth(spark):
     assert {r["slide_index"]: (r["selected"], r["cumulative_score"], r["gap"]) for r in got} == {3: (True, 4.8, 0.0), 13: (False, 4.8, 0.0)}
 
 
+def test_the_smaller_of_two_equal_slides_is_aligned(spark):
+    # One word shared with slide 3, two with slide 13: 4.8 each with what the opening is worth.
+    said = [(1, 0, 40, "about attention", "alpha beta")]
+    assert aligned_one(spark, said, slides=[(3, "Third page", "alpha", False), (13, "Other page", "alpha beta", False)]) == [("ppt_slide_match", ["slide_003"], False, False)]
+
+
 def test_gates(spark):
     r = one(spark, ok=gates.valid_correction(F.lit("a"), F.lit("b"), F.lit("c"), F.array(F.lit(" "), F.lit("x"))), no=gates.valid_correction(F.lit("a"), F.lit("b"), F.lit(" "), F.array(F.lit("x"))), n=gates.required_corrections(F.lit("x" * 200)), why=gates.note_reasons(F.lit("## 知识小结")), m=gates.note_reasons(F.lit(None).cast("string")), mode=align.source_mode(F.lit("slides-first"), F.lit(0), F.lit(True)))
     assert r["ok"] and not r["no"] and r["n"] == 3 and len(r["why"]) == 3 and r["m"] == ["note.md 不存在"] and r["mode"] == "video-first"
