@@ -205,6 +205,14 @@ def test_the_smaller_of_two_equal_slides_is_aligned(spark):
     assert aligned_one(spark, said, slides=[(3, "Third page", "alpha", False), (13, "Other page", "alpha beta", False)]) == [("ppt_slide_match", ["slide_003"], False, False)]
 
 
+def test_a_section_is_named_after_the_smaller_of_two_equal_slides(spark):
+    paths = path.slide_paths(spark.createDataFrame([(1, 1, "segment_001", 19, 18.0, 1), (1, 1, "segment_001", 9, 12.0, 2)], "stream_id long, segment_number int, segment_id string, slide_index int, score double, rank int"))
+    titles = spark.createDataFrame([(9, "Ninth page"), (19, "Other page")], "slide_index int, title string")
+    visual = F.array(F.struct(F.lit("").alias("id"), F.col("score"), F.lit(0.0).alias("ts"), F.col("title"), F.lit("").alias("ocr_text"), F.lit("").alias("relative_path")))
+    aligned = paths.filter("selected").join(titles, "slide_index").select("stream_id", "segment_number", "segment_id", F.lit("").alias("summary"), F.lit("words").alias("text"), F.lit("").alias("cleaned_text"), F.lit(0.0).alias("start"), F.lit(40.0).alias("end"), visual.alias("selected_visuals"))
+    assert structure.outline(aligned).first()["source_title"] == "Ninth page"
+
+
 def test_gates(spark):
     r = one(spark, ok=gates.valid_correction(F.lit("a"), F.lit("b"), F.lit("c"), F.array(F.lit(" "), F.lit("x"))), no=gates.valid_correction(F.lit("a"), F.lit("b"), F.lit(" "), F.array(F.lit("x"))), n=gates.required_corrections(F.lit("x" * 200)), why=gates.note_reasons(F.lit("## 知识小结")), m=gates.note_reasons(F.lit(None).cast("string")), mode=align.source_mode(F.lit("slides-first"), F.lit(0), F.lit(True)))
     assert r["ok"] and not r["no"] and r["n"] == 3 and len(r["why"]) == 3 and r["m"] == ["note.md 不存在"] and r["mode"] == "video-first"
