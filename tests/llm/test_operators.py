@@ -58,6 +58,20 @@ def test_byte_bpe(spark, docs):
     assert got == sorted(((d, lib.encode_ordinary(t or ""), (t or "").encode()) for d, t in long), key=repr)
 
 
+def test_byte_bpe_packed_words(spark):
+    """Frequent words beyond the first few are packed: same ids; words with other words' bounds, blanks or signs in them are not mistaken."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["the the the the of of qzxv qzxv zq zq 12 12 \x1e\x1f \x1e\x1f  漢é漢é 漢é漢é", "zxv qz v 1 2 \x1e \x1f 漢é the", "", None]
+    df = frame(spark, list(enumerate(texts)))
+    bpe = byte_bpe.ByteBpe(spark, path, P.PATTERN).learn_words(df, quick=2)
+    n_words, packed = bpe.beside(spark.range(1)).select(F.aggregate("__w", F.lit(0), lambda n, m: n + F.size(m)), F.array_join("__k", "").cast("binary")).first()
+    assert 0 < n_words <= 2 and bytes(packed).count(b" qzxv\xff") == 1 and b" the\xff" not in bytes(packed)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(df, "text", "ids").collect()}
+    assert got == {i: lib.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
 def test_byte_bpe_places_beyond_20_bits(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     bpe = byte_bpe.ByteBpe(spark, path, P.PATTERN)

@@ -4,8 +4,9 @@ A text is cut by the split pattern; each word becomes an array of byte tokens an
 adjacent pair of lowest rank, leftmost first, until none is left. The rank map is a constant of the
 plan (the value of a one-row scalar subquery): one array at displaced offsets, so that a lookup costs
 two array reads. All words of all texts are counted; the most frequent (at most `keep`) are folded
-once and kept in a second constant, a map in buckets; rarer words are folded where they stand. The
-second constant only saves time: ids are the same without it. Decoding looks up each id's piece, a
+once and kept in two more constants, maps in buckets for the very frequent and packed strings in
+buckets for the others; rarer words are folded where they stand. These constants only save time: ids
+are the same without them. Decoding looks up each id's piece, a
 binary, and concatenates the pieces.
 
 The only Python here runs in the driver, on the rank file. Characters that Unicode added as letters
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +63,8 @@ PLACES = 31
 NONE_LONG = 1 << (17 + PLACES)
 #: Stands between the parts of a long word; no byte.
 CUT = "\u0100"
+#: Stand before and after a word in packed words; bytes that UTF-8 does not have.
+BEFORE, AFTER = "FE", "FF"
 
 
 #: A slot without a pair: its left is no token.
@@ -85,7 +89,8 @@ def displaced(rows: dict[int, dict[int, int]], top: int, size: int = 1 << 19) ->
 class ByteBpe:
     """Encode and decode expressions for a rank file."""
 
-    WORD_BUCKETS = 1 << 18
+    #: Buckets of the most frequent words, and of the other frequent ones.
+    WORD_BUCKETS, PACKED_BUCKETS = 1 << 15, 1 << 18
     #: Words with more bytes are cut into parts first; parts with more are folded with all places of a pair at once. The ids are the same.
     LONG = 48
 
@@ -124,6 +129,7 @@ class ByteBpe:
         self.tables = frame.select(F.struct("base", "slots", "bytes", "odd", "beside")).scalar()
         self.pieces = frame.select("pieces").scalar()
         self.words: Column | None = None
+        self.packed: Column | None = None
 
     @staticmethod
     def _merged(slots: Column, base: Column, left: Column, right: Column) -> Column:
@@ -188,39 +194,64 @@ class ByteBpe:
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def _bucket(self, word: Column) -> Column:
-        return F.hash(word).bitwiseAND(F.lit(self.WORD_BUCKETS - 1))
+    @staticmethod
+    def _bucket(word: Column, buckets: int) -> Column:
+        return F.hash(word).bitwiseAND(F.lit(buckets - 1))
+
+    @staticmethod
+    def _mark(byte: str) -> Column:
+        return F.unhex(F.lit(byte)).cast("string")
+
+    def _table(self, rows: DataFrame, buckets: int, entries: Column, none: Column, use: Callable[[Column], Column]) -> Column:
+        """The buckets' entries of rows (w, ids) as one array, in order."""
+        held = rows.groupBy(self._bucket(F.col("w"), buckets).alias("b")).agg(entries.alias("e"))
+        every = self.spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(held, "b", "left")
+        one = every.agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("e", none).alias("e")))).alias("all"))
+        return settle(one.select(F.transform("all", lambda x: use(x["e"])).alias("words")), "frequent-words").scalar()
 
-    def learn_words(self, docs: DataFrame, text_col: str = "text", keep: int = 524_288, longest: int = 32) -> ByteBpe:
-        """Fold the most frequent words of all texts once: those of at least the least count that at most `keep` words reach. keep * longest bytes bound what the driver and each executor hold."""
+    def learn_words(self, docs: DataFrame, text_col: str = "text", keep: int = 524_288, longest: int = 32, quick: int = 65_536) -> ByteBpe:
+        """Fold the most frequent words of all texts once: those of at least the least count that at most `keep` words reach. keep * longest bytes bound what the driver and each executor hold.
+
+        Of them at most `quick` stand in maps, which are fast and take some 80 bytes a word; the others, packed into strings, take some 25.
+        """
         words = docs.select(F.explode(self.split(F.col(text_col).cast("string"))).alias("w")).groupBy("w").count()
         step = F.floor(F.log2("count") * 16).cast("int").alias("step")
         counts = settle(words.filter(f"count > 1 AND length(w) <= {longest}").select("w", step), "words")
-        least, total = None, 0
+        least, often, total = None, None, 0
         for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 16 * 64 rows at most
             total += r["count"]
             if total > keep:
                 break
             least = r["step"]
+            often = least if total <= quick else often
         if least is None:
             return self
-        top = counts.filter(F.col("step") >= least).select("w").repartition(64, "w")
-        folded = self.beside(top).select("w", let(F.col("__t"), lambda t: self._word(t, F.col("w"))).alias("ids"), self._bucket(F.col("w")).alias("b"))
-        entries = folded.groupBy("b").agg(F.collect_list(F.struct("w", "ids")).alias("e"))
-        every = self.spark.range(self.WORD_BUCKETS).select(F.col("id").cast("int").alias("b")).join(entries, "b", "left")
-        one = every.agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("e", F.array().cast("array<struct<w:string,ids:array<int>>>")).alias("e")))).alias("all"))
-        row = one.select(F.transform("all", lambda x: F.map_from_entries(x["e"])).alias("words"))
-        self.words = settle(row, "frequent-words").scalar()
+        often = often if often is not None else 1 << 30
+
+        def folded(top: DataFrame) -> DataFrame:
+            return self.beside(top.select("w").repartition(64, "w")).select("w", let(F.col("__t"), lambda t: self._word(t, F.col("w"))).alias("ids"))
+
+        ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+        line = F.array_join(F.collect_list(F.concat(ids, self._mark(BEFORE), F.col("w"), self._mark(AFTER))), "")
+        # Both are set when both are made: words are folded without them.
+        words = self._table(folded(counts.filter(F.col("step") >= often)), self.WORD_BUCKETS, F.collect_list(F.struct("w", "ids")), F.array().cast("array<struct<w:string,ids:array<int>>>"), F.map_from_entries)
+        packed = self._table(folded(counts.filter((F.col("step") >= least) & (F.col("step") < often))), self.PACKED_BUCKETS, line, F.lit(""), lambda x: x)
+        self.words, self.packed = words, packed
         return self
 
     def beside(self, df: DataFrame) -> DataFrame:
-        """df with the constant tables as columns __t (pairs), __w (frequent words) and __p (pieces)."""
+        """df with the constant tables as columns __t (pairs), __w and __k (frequent words: in maps, packed) and __p (pieces)."""
         words = self.words if self.words is not None else F.lit(None).cast("array<map<string,array<int>>>")
-        return df.select("*", self.tables.alias("__t"), words.alias("__w"), self.pieces.alias("__p"))
+        packed = self.packed if self.packed is not None else F.lit(None).cast("array<string>")
+        return df.select("*", self.tables.alias("__t"), words.alias("__w"), packed.alias("__k"), self.pieces.alias("__p"))
 
-    def _encode(self, t: Column, words: Column, text: Column) -> Column:
-        known = lambda w: F.try_element_at(F.get(words, self._bucket(w)), w)
-        return F.flatten(F.transform(self.split(F.coalesce(text.cast("string"), F.lit(""))), lambda w: F.coalesce(known(w), self._word(t, w))))
+    def _encode(self, t: Column, words: Column, packed: Column, text: Column) -> Column:
+        cut = lambda s, mark, n: F.call_function("substring_index", s, mark, F.lit(n))
+        known = lambda w: F.try_element_at(F.get(words, self._bucket(w, self.WORD_BUCKETS)), w)
+        # Of the bucket what stands before the word, and of that what follows the word before: the ids, or nothing.
+        line = lambda w: cut(cut(F.get(packed, self._bucket(w, self.PACKED_BUCKETS)), F.concat(self._mark(BEFORE), w, self._mark(AFTER)), 1), self._mark(AFTER), -1)
+        other = lambda w: let(line(w), lambda ids: F.when(ids != "", F.split(ids, " ").cast("array<int>")).otherwise(self._word(t, w)))
+        return F.flatten(F.transform(self.split(F.coalesce(text.cast("string"), F.lit(""))), lambda w: F.coalesce(known(w), other(w))))
 
     def _decode(self, pieces: Column, ids: Column) -> Column:
         # Null pieces (of unknown ids) are left out by array_join.
@@ -228,18 +259,18 @@ class ByteBpe:
 
     def encode(self, df: DataFrame, text: str, into: str) -> DataFrame:
         """df with the ids of a text column; null has none."""
-        tables = F.struct(F.col("__t").alias("t"), F.col("__w").alias("w"))
-        return self.beside(df).withColumn(into, let(tables, lambda b: self._encode(b["t"], b["w"], F.col(text)))).drop("__t", "__w", "__p")
+        tables = F.struct(F.col("__t").alias("t"), F.col("__w").alias("w"), F.col("__k").alias("k"))
+        return self.beside(df).withColumn(into, let(tables, lambda b: self._encode(b["t"], b["w"], b["k"], F.col(text)))).drop("__t", "__w", "__k", "__p")
 
     def decode(self, df: DataFrame, ids: str, into: str) -> DataFrame:
         """df with the bytes of an ids column. Read ids from a table: the constant tables must not become columns of rows."""
-        return self.beside(df).withColumn(into, let(F.col("__p"), lambda p: self._decode(p, F.col(ids)))).drop("__t", "__w", "__p")
+        return self.beside(df).withColumn(into, let(F.col("__p"), lambda p: self._decode(p, F.col(ids)))).drop("__t", "__w", "__k", "__p")
 
     def round_trip(self, df: DataFrame, text: str, into: str) -> DataFrame:
         """df with struct<ids array<int>, decoded binary>: encoded, then decoded from the ids, in one expression."""
-        tables = F.struct(F.col("__t").alias("t"), F.col("__w").alias("w"), F.col("__p").alias("p"))
-        both = let(tables, lambda b: let(self._encode(b["t"], b["w"], F.col(text)), lambda ids: F.struct(ids.alias("ids"), self._decode(b["p"], ids).alias("decoded"))))
-        return self.beside(df).withColumn(into, both).drop("__t", "__w", "__p")
+        tables = F.struct(F.col("__t").alias("t"), F.col("__w").alias("w"), F.col("__k").alias("k"), F.col("__p").alias("p"))
+        both = let(tables, lambda b: let(self._encode(b["t"], b["w"], b["k"], F.col(text)), lambda ids: F.struct(ids.alias("ids"), self._decode(b["p"], ids).alias("decoded"))))
+        return self.beside(df).withColumn(into, both).drop("__t", "__w", "__k", "__p")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
