@@ -72,6 +72,21 @@ def test_byte_bpe_packed_words(spark):
     assert got == {i: lib.encode_ordinary(t or "") for i, t in enumerate(texts)}
 
 
+def test_byte_bpe_ranks_beside_tokens(spark):
+    """The fold keeps a token with the rank of its pair; the last has none. Equal pairs merge from the left, overlapping ones too."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = byte_bpe.ByteBpe(spark, path, P.PATTERN)
+    pair = next(x for x in ranks if len(x) == 2 and x.isalpha())
+    t, ids = F.col("__t"), F.array(*(F.lit(ranks[bytes([x])]) for x in pair))
+    got = bpe.beside(spark.range(1)).select(byte_bpe.let(t, lambda t: F.transform(ids, lambda left, i: bpe._paired(t["slots"], t["base"], left, F.get(ids, i + 1)))).alias("x")).first()["x"]
+    assert got == [ranks[pair] << 17 | ranks[pair[:1]], byte_bpe.NONE << 17 | ranks[pair[1:]]]
+    words = ["a", "aaaaaaa", "ababab", "ssssss", " theretherethere", "zqxj", "é", "漢漢漢"]
+    rows = bpe.beside(spark.createDataFrame(list(enumerate(words)), "k int, w string")).select("k", byte_bpe.let(t, lambda t: bpe._word(t, F.col("w"))).alias("ids")).collect()
+    assert {r["k"]: r["ids"] for r in rows} == {k: lib.encode_ordinary(w) for k, w in enumerate(words)}
+
+
 def test_byte_bpe_places_beyond_20_bits(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     bpe = byte_bpe.ByteBpe(spark, path, P.PATTERN)

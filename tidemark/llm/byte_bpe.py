@@ -141,18 +141,27 @@ class ByteBpe:
         rank = lambda i, x: F.least(self._merged(t["slots"], t["base"], F.get(ids, i), x), F.lit(NONE))
         return F.array_min(F.transform(F.slice(ids, F.lit(2), F.size(ids)), lambda x, i: F.shiftleft(rank(i, x), PLACES) + i))
 
+    def _paired(self, slots: Column, base: Column, left: Column, right: Column) -> Column:
+        """A token with the rank of its pair, as rank * 2**17 + token; a rank of NONE or more where the pair can't merge or there is no right one (null)."""
+        return F.shiftleft(F.coalesce(self._merged(slots, base, left, right), F.lit(NONE).cast("long")), 17) + left
+
     def _fold(self, t: Column, ids: Column) -> Column:
-        """Merge the leftmost pair of lowest rank, again and again; a step looks up the ranks of all pairs, the last token has none (null)."""
+        """Merge the leftmost pair of lowest rank, again and again. A token stands with the rank of its pair, so that a step looks up two pairs only: those of the new token."""
 
         def fold(slots: Column, base: Column) -> Column:
+            token = lambda x: x.bitwiseAND(F.lit(NONE - 1)).cast("int")
+
             def merge(x: Column, m: Column, p: Column) -> Column:
-                return F.filter(F.transform(x, lambda token, i: F.when(i == p - 1, m).otherwise(token)), lambda _, i: i != p)
+                new = F.shiftright(m, 17).cast("int")
+                # Most tokens stand behind the pair or before it, as they are; the first test decides for those behind.
+                at = lambda v, i: F.when(i > p, v).when(i == p, self._paired(slots, base, new, token(F.get(x, p + 2)))).when(i == p - 1, self._paired(slots, base, token(v), new)).otherwise(v)
+                return F.filter(F.transform(x, at), lambda _, i: i != p + 1)
 
             def step(x: Column, _: Column) -> Column:
-                ranks = F.transform(x, lambda left, i: self._merged(slots, base, left, F.get(x, i + 1)))
-                return let(ranks, lambda r: let(F.array_min(r), lambda m: F.when(m < NONE, let(F.array_position(r, m).cast("int"), lambda p: merge(x, m.cast("int"), p))).otherwise(x)))
+                return let(F.array_min(x), lambda m: F.when(m < NONE << 17, let((F.array_position(x, m) - 1).cast("int"), lambda p: merge(x, m, p))).otherwise(x))
 
-            return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), ids, step)
+            start = F.transform(ids, lambda left, i: self._paired(slots, base, left, F.get(ids, i + 1)))
+            return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), start, step, lambda x: F.transform(x, token))
 
         return let(t["slots"], lambda slots: let(t["base"], lambda base: fold(slots, base)))
 
